@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspan.operators import nested
-from tallyspan.session import table
+from tallyspan.operators import drift, nested
+from tallyspan.session import materialise, table
 
 
 def p1_records(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,5 +26,32 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("example_id", "claim_no", "evidence_no", "record_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_claims)}
+# Further fields that the consistent table takes up.
+APPROVED = {
+    "Unit": ("unit", "string"),
+    "Remarks": ("remarks", "string"),
+    "Footnote_No": ("footnote_no", drift.COUNT),
+    "revised_flag": ("revised_flag", "string"),
+}
+
+
+def p2_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Every change of a file against its predecessor, with old id and types."""
+    payloads = table(spark, sf, "source_payloads")
+    return drift.changes(payloads, materialise(drift.ingest_payloads(payloads)))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The changes by file, field and kind."""
+    return p2_report(spark, sf).select("file_id", "field_id", "change_kind")
+
+
+def p2_table(spark: SparkSession, sf: str) -> DataFrame:
+    """All records in one table: typed, renamed fields replayed, rest as JSON."""
+    payloads = table(spark, sf, "source_payloads")
+    ingested = materialise(drift.ingest_payloads(payloads))
+    return drift.promote(ingested, drift.changes(payloads, ingested), APPROVED)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_claims, p2_found, p2_report, p2_table)}
 ORACLES: dict[str, str] = {}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyspan.operators import drift, nested
+from tallyspan.operators import drift, nested, profile, rowparse
 from tallyspan.session import materialise, table
 
 
@@ -53,5 +53,52 @@ def p2_table(spark: SparkSession, sf: str) -> DataFrame:
     return drift.promote(ingested, drift.changes(payloads, ingested), APPROVED)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_claims, p2_found, p2_report, p2_table)}
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The unsound lines with the first reason that holds."""
+    return rowparse.unsound_lines(table(spark, sf, "region_lines")).select("line_id", "reason")
+
+
+def p3_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """The unsound lines with the place of the fault."""
+    return rowparse.unsound_lines(table(spark, sf, "region_lines"))
+
+
+def p3_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The sound lines with typed values."""
+    return rowparse.typed_rows(table(spark, sf, "region_lines"))
+
+
+# The wide tables, with the columns whose shift is reported.
+WIDE = {"census_rows": ["total_total", "males_0_4"], "region_rows": ["y2020"]}
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Faulty cells and shifted columns of both wide tables."""
+    found = []
+    for name, watched in WIDE.items():
+        rows = table(spark, sf, name)
+        shifts = profile.load_shifts(rows, table(spark, sf, "source_loads"), name, watched).where("is_shift")
+        shifts = shifts.select(F.lit("shift").alias("check_kind"), F.col("load_id").alias("key_id"), "column_name")
+        cells = profile.faulty_cells(rows, "row_id", profile.count_columns(rows))
+        found.append(cells.unionByName(shifts).withColumn("table_name", F.lit(name)))
+    return found[0].unionByName(found[1]).select("check_kind", "table_name", "key_id", "column_name")
+
+
+def p5_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Nulls, distinct values, range and faults of every count column."""
+    parts = [profile.profile(table(spark, sf, n), profile.count_columns(table(spark, sf, n))).withColumn("table_name", F.lit(n)) for n in WIDE]
+    return parts[0].unionByName(parts[1])
+
+
+def p5_shifts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every count column of every load against the load before."""
+    loads = table(spark, sf, "source_loads")
+    parts = []
+    for name in WIDE:
+        rows = table(spark, sf, name)
+        parts.append(profile.load_shifts(rows, loads, name, profile.count_columns(rows)).withColumn("table_name", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_claims, p2_found, p2_report, p2_table, p3_found, p3_faults, p3_rows, p5_found, p5_profile, p5_shifts)}
 ORACLES: dict[str, str] = {}

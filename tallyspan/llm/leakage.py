@@ -35,6 +35,7 @@ SCREEN = 0.55
 _SIZES = (4, 6, 8, 12, 16, 24, 32, 48, 64)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 _BLOOM_BITS = 22
+_TOGETHER = 5
 
 
 def needed(n_words: int) -> int:
@@ -205,15 +206,13 @@ def matches(index: Index, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Unique (text, item) pairs that hold, among the candidates."""
     text, item, diagonal = candidates(index, words, bounds)
     found: list[np.ndarray] = []
-    # Nearby diagonals of a pair are one candidate; the band covers them all.
-    group = np.ones(len(text), dtype=bool)
-    if len(text) > 1:
-        group[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > 4)
-    text, item, diagonal = text[group], item[group], diagonal[group]
+    # Five neighbouring diagonals of a pair are one candidate; the band covers them.
+    near_by = np.unique(np.stack([text, item, diagonal // _TOGETHER], axis=1), axis=0)
+    text, item, diagonal = near_by[:, 0], near_by[:, 1], near_by[:, 2] * _TOGETHER + _TOGETHER // 2
     n_words = np.diff(index.bounds)
     for at in range(0, len(text), 256):
         t, i, d = text[at : at + 256], item[at : at + 256], diagonal[at : at + 256]
-        near = _aligned(index, words, bounds, t, i, d, 6).any(axis=2).cumsum(axis=1)
+        near = _aligned(index, words, bounds, t, i, d, 8).any(axis=2).cumsum(axis=1)
         # A cheap upper bound first: held words within any stretch of the length that counts.
         least = np.array([needed(int(n)) for n in n_words[i]])
         lead = np.concatenate([np.zeros((len(t), 1), dtype=near.dtype), near], axis=1)
@@ -222,7 +221,7 @@ def matches(index: Index, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         t, i, d = t[likely], i[likely], d[likely]
         for part in range(0, len(t), 32):
             chosen = slice(part, part + 32)
-            band = max(6, int(n_words[i[chosen]].max()) // PER_EDIT) if len(t) else 6
+            band = max(6, int(n_words[i[chosen]].max()) // PER_EDIT + _TOGETHER // 2)
             good = verify(_aligned(index, words, bounds, t[chosen], i[chosen], d[chosen], band), n_words[i[chosen]])
             found.append(np.stack([t[chosen][good], i[chosen][good]], axis=1))
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)

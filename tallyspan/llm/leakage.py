@@ -8,10 +8,10 @@ alignment.  The held-out passages are a stated query set: they are indexed in
 blocks of bounded size and sent to the tasks, the corpus is only read, so the
 job has no shuffle and no group can grow hot.
 
-Before the embedding, windows are screened by a bound that no match fails:
-with at most one word in eight altered, put in or left out, at least three
-quarters of a matching stretch's word pairs are pairs of the passage; windows
-with less than 0.55 of them are not embedded.
+Before the embedding, windows are screened by a bound that no match fails: a
+stretch of the length that counts has at most an eighth of its words altered,
+put in or left out, each of which spoils two word pairs; windows with more pairs
+that are none of the passages' are not embedded.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ from tallyspan.llm.words import hashed_words, plain_bytes, text_slices
 BLOCK_WORDS = 2_000_000
 SHARE = 0.4
 PER_EDIT = 7  # matches that each edit needs: one word in eight altered
-WALKS = 10
-SAMPLES = 5
-SCREEN = 0.55
+WALKS = 3
+DRAWS = 3
+SAMPLES = 7
 _SIZES = (4, 6, 8, 12, 16, 24, 32, 48, 64)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 _BLOOM_BITS = 22
@@ -55,27 +55,31 @@ def pairs_of(words: np.ndarray) -> np.ndarray:
         return (words[:-1] * _PAIR) ^ (words[1:] + (words[:-1] << np.uint64(7)))
 
 
-def walk_keys(words: np.ndarray, at: np.ndarray, size: int, seed: int) -> np.ndarray:
-    """LSH key of the windows that start ``at``, for one random walk.
+def walk_keys(words: np.ndarray, at: np.ndarray, size: int, seed: int) -> list[np.ndarray]:
+    """LSH keys of the windows that start ``at``, DRAWS of one random walk.
 
     The walk reads the word under its pointer and moves on or stays by a random
-    bit of (step, word); the key hashes the words read at the sampled steps.
+    bit of (step, word); each key hashes the words read at its sampled steps.
     """
     rng = np.random.default_rng([seed, size])
-    steps = np.sort(rng.choice(2 * size, size=min(SAMPLES, 2 * size), replace=False))
+    draws = [set(rng.choice(2 * size, size=min(SAMPLES, 2 * size), replace=False).tolist()) for _ in range(DRAWS)]
     factors = rng.integers(1, 2**63, size=2 * size, dtype=np.uint64) | np.uint64(1)
-    pointer = np.zeros(len(at), dtype=np.int64)
-    key = np.full(len(at), np.uint64((seed + 1) * 0x632BE59BD9B4E019 % 2**64), dtype=np.uint64)
+    starts = rng.integers(1, 2**63, size=DRAWS, dtype=np.uint64)
+    pointer = np.array(at, dtype=np.int64)
+    end = pointer + size
+    keys = [np.full(len(at), start, dtype=np.uint64) for start in starts]
     with np.errstate(over="ignore"):
-        for step in range(int(steps[-1]) + 1):
-            past = pointer >= size
-            seen = words[at + np.minimum(pointer, size - 1)]
-            seen[past] = 0
-            if step in steps:
-                key = (key ^ seen) * _PAIR
-                key ^= key >> np.uint64(29)
+        for step in range(max(map(max, draws)) + 1):
+            seen = words[pointer]
+            seen[pointer == end] = 0
+            for key, steps in zip(keys, draws, strict=True):
+                if step in steps:
+                    key ^= seen
+                    key *= _PAIR
+                    key ^= key >> np.uint64(29)
             pointer += ((seen * factors[step]) >> np.uint64(63)).astype(np.int64)
-    return key
+            # Past its end a window reads blanks, which never move the pointer.
+    return keys
 
 
 @dataclass
@@ -92,6 +96,7 @@ class Index:
 class SizeIndex:
     bloom: np.ndarray
     pairs: np.ndarray
+    least: int
     keys: np.ndarray
     item: np.ndarray
     place: np.ndarray
@@ -109,17 +114,20 @@ def build_index(ids: list[int], passages: list[str]) -> Index:
         at = [np.arange(bounds[i], max(bounds[i] + 1, bounds[i + 1] - size + 1)) for i in members]
         item = np.repeat(members, [len(a) for a in at])
         flat = np.concatenate(at)
-        keys = np.concatenate([walk_keys(_padded(words, size), flat, size, w) for w in range(WALKS)])
+        keys = np.concatenate([k for w in range(WALKS) for k in walk_keys(_padded(words, size), flat, size, w)])
         order = np.argsort(keys, kind="stable")
         unique = np.unique(np.concatenate(pairs))
         bloom = np.zeros(1 << _BLOOM_BITS, dtype=bool)
         bloom[(unique >> np.uint64(64 - _BLOOM_BITS)).astype(np.int64)] = True
-        sizes[size] = SizeIndex(bloom, unique, keys[order], np.tile(item, WALKS)[order], np.tile(flat - bounds[item], WALKS)[order])
+        longest = max(needed(int(bounds[i + 1] - bounds[i])) for i in members)
+        least = max(1, size - 1 - 2 * (longest // (PER_EDIT + 1)))
+        repeats = WALKS * DRAWS
+        sizes[size] = SizeIndex(bloom, unique, least, keys[order], np.tile(item, repeats)[order], np.tile(flat - bounds[item], repeats)[order])
     return Index(np.array(ids, dtype=np.int64), words, bounds, sizes)
 
 
 def _padded(words: np.ndarray, size: int) -> np.ndarray:
-    return np.concatenate([words, np.zeros(size, dtype=np.uint64)])
+    return np.concatenate([words, np.zeros(size + 1, dtype=np.uint64)])
 
 
 def candidates(index: Index, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +149,7 @@ def candidates(index: Index, words: np.ndarray, bounds: np.ndarray) -> tuple[np.
             run = np.cumsum(hit, out=hit)
             if len(run) <= size - 1:
                 continue
-            at = np.flatnonzero(run[size - 1 :] - run[: -(size - 1)] >= max(1, SCREEN * (size - 1)))
+            at = np.flatnonzero(run[size - 1 :] - run[: -(size - 1)] >= part.least)
         if not len(at):
             continue
         text = np.searchsorted(bounds, at, side="right") - 1
@@ -149,12 +157,12 @@ def candidates(index: Index, words: np.ndarray, bounds: np.ndarray) -> tuple[np.
         at, text = at[keep], text[keep]
         padded = _padded(words, size)
         for walk in range(WALKS):
-            keys = walk_keys(padded, at, size, walk)
-            low, high = np.searchsorted(part.keys, keys, "left"), np.searchsorted(part.keys, keys, "right")
-            n = high - low
-            which = np.repeat(np.arange(len(at)), n)
-            entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-            found.append(np.stack([text[which], part.item[entry], at[which] - part.place[entry]], axis=1))
+            for keys in walk_keys(padded, at, size, walk):
+                low, high = np.searchsorted(part.keys, keys, "left"), np.searchsorted(part.keys, keys, "right")
+                n = high - low
+                which = np.repeat(np.arange(len(at)), n)
+                entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                found.append(np.stack([text[which], part.item[entry], at[which] - part.place[entry]], axis=1))
     if not found:
         return (np.zeros(0, dtype=np.int64),) * 3
     rows = np.unique(np.concatenate(found), axis=0)

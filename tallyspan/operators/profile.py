@@ -80,27 +80,32 @@ def moments(sums: DataFrame) -> DataFrame:
     return sums.withColumns({"mean": mean, "deviation": F.sqrt(F.greatest(variance, F.lit(0.0)))})
 
 
-def medians(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
-    """Exact median of the numbers from 0 to 10,000,000 per load and column.
+def exact_medians(values: DataFrame, keys: Sequence[str], value: str, width: float) -> DataFrame:
+    """(keys, median): exact median of the non-null values of each group.
 
     Counts of equal values are binned; a running count over the bins (their
-    number is bounded) finds the bins of the middle values, and one within
-    these the values.
+    number is the range of the values over ``width``) finds the bins of the
+    middle values, and one within these the values.  No group is gathered.
     """
-    value = number(F.col("raw"))
-    counts = long_cells(df, [load], columns).select(load, "column_name", value.alias("value")).where(F.col("value").between(LOWEST, HIGHEST))
-    counts = counts.groupBy(load, "column_name", "value").agg(F.count("*").alias("n")).withColumn("bin", F.floor(F.col("value") / _BIN))
-    key = [load, "column_name"]
-    bins = counts.groupBy(*key, "bin").agg(F.sum("n").alias("n"))
-    ordered = Window.partitionBy(*key).orderBy("bin")
-    bins = bins.withColumns({"upto": F.sum("n").over(ordered), "total": F.sum("n").over(Window.partitionBy(*key))})
+    keys = list(keys)
+    counts = values.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg(F.count("*").alias("n"))
+    counts = counts.withColumn("bin", F.floor(F.col("_value") / width))
+    bins = counts.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+    ordered = Window.partitionBy(*keys).orderBy("bin")
+    bins = bins.withColumns({"upto": F.sum("n").over(ordered), "total": F.sum("n").over(Window.partitionBy(*keys))})
     low, high = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
     bins = bins.withColumns({"low": low, "high": high, "before": F.col("upto") - F.col("n")})
-    bins = bins.where("(low > before and low <= upto) or (high > before and high <= upto)").select(*key, "bin", "before", "low", "high")
-    within = Window.partitionBy(*key, "bin").orderBy("value")
-    ranked = counts.join(bins, [*key, "bin"]).withColumn("upto", F.col("before") + F.sum("n").over(within)).withColumn("before", F.col("upto") - F.col("n"))
-    at = lambda rank: F.max(F.when((F.col(rank) > F.col("before")) & (F.col(rank) <= F.col("upto")), F.col("value")))
-    return ranked.groupBy(*key).agg(((at("low") + at("high")) / 2).alias("median"))
+    bins = bins.where("(low > before and low <= upto) or (high > before and high <= upto)").select(*keys, "bin", "before", "low", "high")
+    within = Window.partitionBy(*keys, "bin").orderBy("_value")
+    ranked = counts.join(bins, [*keys, "bin"]).withColumn("upto", F.col("before") + F.sum("n").over(within)).withColumn("before", F.col("upto") - F.col("n"))
+    at = lambda rank: F.max(F.when((F.col(rank) > F.col("before")) & (F.col(rank) <= F.col("upto")), F.col("_value")))
+    return ranked.groupBy(*keys).agg(((at("low") + at("high")) / 2).alias("median"))
+
+
+def medians(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
+    """Exact median of the numbers from 0 to 10,000,000 per load and column."""
+    cells = long_cells(df, [load], columns).select(load, "column_name", number(F.col("raw")).alias("value"))
+    return exact_medians(cells.where(F.col("value").between(LOWEST, HIGHEST)), [load, "column_name"], "value", _BIN)
 
 
 def load_shifts(df: DataFrame, loads: DataFrame, table_name: str, columns: Sequence[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Named queries and the SQL that they are checked against."""
 
-from tallyspan.plans import core_problems
+from tallyspan.plans import answer_queries, core_problems, evaluation_queries, observation_queries, retrieval_queries
 
-QUERIES = {**core_problems.QUERIES}
-ORACLES = {**core_problems.ORACLES}
+MODULES = (core_problems, observation_queries, retrieval_queries, evaluation_queries, answer_queries)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

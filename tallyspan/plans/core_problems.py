@@ -101,4 +101,38 @@ def p5_shifts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_claims, p2_found, p2_report, p2_table, p3_found, p3_faults, p3_rows, p5_found, p5_profile, p5_shifts)}
-ORACLES: dict[str, str] = {}
+_CENSUS = "COLUMNS('^(total|males|females)_')"
+_YEARS = "y2025, y2024, y2023, y2022, y2021, y2020, y2019"
+_NUMBER = r"'[+-]?([0-9]+|[0-9]+\.[0-9]*|[0-9]*\.[0-9]+)'"
+_MISSING = "(raw IS NULL OR lower(trim(raw, ' ')) IN ('', '-', 'na', 'n.a.', 'null'))"
+_IS_NUMBER = f"regexp_full_match(trim(raw, ' '), {_NUMBER})"
+_CELLS = f"""cells AS (
+  SELECT 'census_rows' AS table_name, row_id, load_id, column_name, raw FROM census_rows UNPIVOT INCLUDE NULLS (raw FOR column_name IN ({_CENSUS}))
+  UNION ALL SELECT 'region_rows', row_id, load_id, column_name, raw FROM region_rows UNPIVOT INCLUDE NULLS (raw FOR column_name IN ({_YEARS}))),
+typed AS (SELECT *, {_MISSING} AS is_missing, CASE WHEN {_IS_NUMBER} THEN TRY_CAST(trim(raw, ' ') AS DOUBLE) END AS value FROM cells)"""
+_WATCHED = " OR ".join(f"(table_name = '{t}' AND column_name IN ({', '.join(repr(c) for c in cs)}))" for t, cs in WIDE.items())
+_FIELD = r"""'(?:"(?:[^"]|"")*"|[^"\r\n' || (CASE delim WHEN '|' THEN '\|' ELSE delim END) || ']*)'"""
+_MARK = r"(CASE delim WHEN '|' THEN '\|' ELSE delim END)"
+
+ORACLES: dict[str, str] = {
+    "p3_found": rf"""WITH l AS (
+        SELECT line_id, file_no, line_no, regexp_full_match(raw_line, {_FIELD} || '(?:' || {_MARK} || {_FIELD} || ')*') AS quoted_well,
+          [CASE WHEN starts_with(x, '"') THEN replace(x[2:-2], '""', '"') ELSE x END FOR x IN regexp_extract_all(delim || raw_line, {_MARK} || '(' || {_FIELD} || ')', 1)] AS fields FROM region_lines),
+      h AS (SELECT file_no, arg_min(fields, line_id) AS names FROM l WHERE line_no = 0 AND quoted_well GROUP BY file_no),
+      j AS (SELECT line_id, quoted_well, fields, names, len(list_filter(list_zip(names, fields), lambda x: CASE
+          WHEN x[1] = 'DataSeries' THEN trim(x[2], ' ') = '' WHEN x[1] = '_id' THEN NOT regexp_full_match(trim(x[2], ' '), '0*[1-9][0-9]*')
+          WHEN regexp_full_match(x[1], '[0-9]{{4}}') THEN NOT (lower(trim(x[2], ' ')) IN ('', '-', 'na', 'n.a.', 'null') OR regexp_full_match(trim(x[2], ' '), {_NUMBER})) ELSE false END)) AS n_bad
+        FROM l LEFT JOIN h USING (file_no) WHERE line_no <> 0),
+      r AS (SELECT line_id, CASE WHEN NOT quoted_well THEN 'quoting' WHEN names IS NULL OR len(fields) <> len(names) THEN 'column_count' WHEN n_bad > 0 THEN 'invalid_value' END AS reason FROM j)
+      SELECT line_id, reason FROM r WHERE reason IS NOT NULL""",
+    "p5_found": f"""WITH {_CELLS},
+      described AS (SELECT table_name, load_id, column_name, count(*) AS n, count(*) FILTER (WHERE is_missing) AS m, median(value) FILTER (WHERE value BETWEEN 0 AND 10000000) AS med FROM typed WHERE {_WATCHED} GROUP BY ALL),
+      chain AS (SELECT DISTINCT target_table, load_id, prev_load_id FROM source_loads WHERE prev_load_id IS NOT NULL)
+      SELECT 'pattern' AS check_kind, table_name, row_id AS key_id, column_name FROM typed WHERE NOT is_missing AND value IS NULL
+      UNION ALL SELECT 'range', table_name, row_id, column_name FROM typed WHERE value < 0 OR value > 10000000
+      UNION ALL SELECT 'shift', d.table_name, d.load_id, d.column_name FROM described d JOIN chain c ON c.target_table = d.table_name AND c.load_id = d.load_id
+        JOIN described b ON b.table_name = d.table_name AND b.load_id = c.prev_load_id AND b.column_name = d.column_name
+        WHERE abs(d.m * b.n - b.m * d.n) * 100 > 15 * d.n * b.n OR d.med > 2 * b.med OR b.med > 2 * d.med""",
+    "p5_profile": f"""WITH {_CELLS} SELECT table_name, column_name, count(*) AS n_rows, count(*) FILTER (WHERE raw IS NULL) AS n_null, count(*) FILTER (WHERE raw IS NOT NULL AND is_missing) AS n_marker, count(DISTINCT raw) AS n_distinct,
+      min(value) AS min_value, max(value) AS max_value, count(*) FILTER (WHERE NOT is_missing AND value IS NULL) AS n_pattern, count(*) FILTER (WHERE value < 0 OR value > 10000000) AS n_range FROM typed GROUP BY ALL""",
+}

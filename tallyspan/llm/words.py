@@ -65,9 +65,27 @@ class _Powers:
 def hashed_words(plain: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, bounds of each text's words).
 
-    Equal words have equal hashes.  The hash is a polynomial one, taken from
-    prefix sums, so a batch costs a few passes over its bytes.
+    Equal words have equal hashes.  Long texts are hashed in parts, so what is
+    held beside the hashes stays bounded.
     """
+    if sum(map(len, plain)) <= 4 * SLICE_CHARS:
+        return _hashed(plain)
+    words, counts = [], []
+    for text in plain:
+        count, at = 0, 0
+        while at < len(text):
+            end = text.find(b" ", at + SLICE_CHARS)
+            end = len(text) if end < 0 else end
+            part, _ = _hashed([text[at:end]])
+            words.append(part)
+            count, at = count + len(part), end
+        counts.append(count)
+    return np.concatenate([np.zeros(0, dtype=np.uint64), *words]), np.cumsum([0, *counts])
+
+
+def _hashed(plain: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one slice.  The hash is a polynomial one, taken from prefix
+    sums, so a slice costs a few passes over its bytes."""
     joined = b" " + b" ".join(plain) + b" "
     data = np.frombuffer(joined, dtype=np.uint8)
     inside = data != 32

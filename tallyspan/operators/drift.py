@@ -85,7 +85,7 @@ def ingest_payloads(payloads: DataFrame) -> DataFrame:
 def field_inventory(payloads: DataFrame, ingested: DataFrame) -> DataFrame:
     """(file_id, field_id, field_type, has_list): the fields of every file."""
     lists = F.filter("results", lambda r: F.ltrim(r["fields"]).startswith("["))
-    parsed = payload_results(payloads).select("file_id", lists.alias("lists"))
+    parsed = payload_results(payloads.select("file_id", "body")).select("file_id", lists.alias("lists"))
     listed = parsed.where(F.size("lists") > 0).select("file_id", F.posexplode(F.flatten(F.transform("lists", lambda r: objects(r["fields"], "id string, type string")))))
     first = listed.where("col.id is not null").groupBy("file_id", F.col("col.id").alias("field_id")).agg(F.min_by("col.type", "pos").alias("field_type"))
     bare = parsed.where(F.size("lists") == 0).select("file_id")
@@ -101,6 +101,7 @@ def changes(payloads: DataFrame, ingested: DataFrame) -> DataFrame:
     in at least nine tenths of the ``_id``s of both files in which both hold a
     value, numbers by value, else trimmed text.
     """
+    payloads = payloads.select("file_id", "prev_file_id", "body")
     fields = field_inventory(payloads, ingested)
     listed = payload_results(payloads).select("file_id", F.exists("results", lambda r: F.ltrim(r["fields"]).startswith("[")).alias("has_list"))
     listed = listed.select("file_id", F.coalesce("has_list", F.lit(False)).alias("has_list"))

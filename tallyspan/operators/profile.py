@@ -14,6 +14,7 @@ predecessor is null or absent has no shift; empty tables give empty results.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -24,16 +25,18 @@ LOWEST, HIGHEST = 0, 10_000_000
 MISSING_SHIFT = 0.15
 MEDIAN_RATIO = 2
 _BIN = 4096
+_COUNT_COLUMN = re.compile(r"(total|males|females)_(total|\d+_\d+|\d+andover)|y(19|20)\d\d")
 
 
 def count_columns(df: DataFrame) -> list[str]:
     """The count columns of a wide table: sex and age counts, or years."""
-    return [c for c in df.columns if c.startswith(("total_", "males_", "females_")) or (c.startswith("y") and c[1:].isdigit())]
+    return [c for c in df.columns if _COUNT_COLUMN.fullmatch(c)]
 
 
 def long_cells(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Unpivots ``columns`` to (column_name, raw) and keeps ``keys``."""
-    return df.unpivot(list(keys), list(columns), "column_name", "raw")
+    texts = df.select(*keys, *(F.col(c).cast("string").alias(c) for c in columns))
+    return texts.unpivot(list(keys), list(columns), "column_name", "raw")
 
 
 def faulty_cells(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

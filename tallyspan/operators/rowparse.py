@@ -124,6 +124,7 @@ def tokenise(lines: DataFrame) -> DataFrame:
         F.col("line_no").cast("int"),
         F.when(single, raw).otherwise(F.replace(raw, given, unit)).alias("raw"),
         F.when(single, given).otherwise(unit).alias("delim"),
+        F.when(~single, given).alias("spelled"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,9 +138,12 @@ def tokenise(lines: DataFrame) -> DataFrame:
                 delimiters = np.frombuffer(b"".join(batch.column(4).cast(pa.binary()).to_pylist()), dtype=np.uint8)
                 fields, fault = tokenise_bytes(data, starts, delimiters)
                 offset = pa.array(fault.astype(np.int32), mask=fault < 0)
-                yield pa.record_batch([*batch.columns[:3], fields, offset], names=["line_id", "file_no", "line_no", "fields", "fault_offset"])
+                yield pa.record_batch([*batch.columns[:3], fields, offset, batch.column(5)], names=["line_id", "file_no", "line_no", "fields", "fault_offset", "spelled"])
 
-    return source.mapInArrow(run, "line_id long, file_no long, line_no int, fields array<string>, fault_offset int")
+    tokens = source.mapInArrow(run, "line_id long, file_no long, line_no int, fields array<string>, fault_offset int, spelled string")
+    # A delimiter of several bytes went through as one unit separator.
+    restored = F.when(F.col("spelled").isNull(), F.col("fields")).otherwise(F.transform("fields", lambda f: F.replace(f, unit, F.col("spelled"))))
+    return tokens.withColumn("fields", restored).drop("spelled")
 
 
 def _invalid(name: Column, value: Column) -> Column:

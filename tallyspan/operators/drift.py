@@ -82,15 +82,21 @@ def ingest_payloads(payloads: DataFrame) -> DataFrame:
     return ingest(flatten_records(payloads)).join(payloads.select("file_id", "source_id", "resource_id"), "file_id")
 
 
-def field_inventory(payloads: DataFrame, ingested: DataFrame) -> DataFrame:
-    """(file_id, field_id, field_type, has_list): the fields of every file."""
+def file_fields(payloads: DataFrame) -> DataFrame:
+    """file_id, prev_file_id, has_list, fields (array of id and type) per file."""
     lists = F.filter("results", lambda r: F.ltrim(r["fields"]).startswith("["))
-    parsed = payload_results(payloads.select("file_id", "body")).select("file_id", lists.alias("lists"))
-    listed = parsed.where(F.size("lists") > 0).select("file_id", F.posexplode(F.flatten(F.transform("lists", lambda r: objects(r["fields"], "id string, type string")))))
-    first = listed.where("col.id is not null").groupBy("file_id", F.col("col.id").alias("field_id")).agg(F.min_by("col.type", "pos").alias("field_type"))
-    bare = parsed.where(F.size("lists") == 0).select("file_id")
-    keyed = ingested.join(bare, "file_id", "left_semi").select("file_id", F.explode(F.map_keys(cells(ingested))).alias("field_id")).distinct()
-    return first.withColumn("has_list", F.lit(True)).unionByName(keyed.withColumns({"field_type": F.lit(None).cast("string"), "has_list": F.lit(False)}))
+    parsed = payload_results(payloads.select("file_id", "prev_file_id", "body")).withColumn("lists", lists)
+    fields = F.flatten(F.transform("lists", lambda r: objects(r["fields"], "id string, type string")))
+    return parsed.select("file_id", "prev_file_id", F.coalesce(F.size("lists") > 0, F.lit(False)).alias("has_list"), fields.alias("fields"))
+
+
+def field_inventory(files: DataFrame, ingested: DataFrame) -> DataFrame:
+    """(file_id, field_id, field_type): the fields of every file."""
+    listed = files.where("has_list").select("file_id", F.posexplode("fields")).where("col.id is not null")
+    first = listed.groupBy("file_id", F.col("col.id").alias("field_id")).agg(F.min_by("col.type", "pos").alias("field_type"))
+    bare = ingested.join(files.where("not has_list").select("file_id"), "file_id", "left_semi")
+    keyed = bare.select("file_id", F.explode(F.map_keys(cells(bare))).alias("field_id")).distinct()
+    return first.unionByName(keyed.withColumn("field_type", F.lit(None).cast("string")))
 
 
 def changes(payloads: DataFrame, ingested: DataFrame) -> DataFrame:
@@ -101,36 +107,32 @@ def changes(payloads: DataFrame, ingested: DataFrame) -> DataFrame:
     in at least nine tenths of the ``_id``s of both files in which both hold a
     value, numbers by value, else trimmed text.
     """
-    payloads = payloads.select("file_id", "prev_file_id", "body")
-    fields = field_inventory(payloads, ingested)
-    listed = payload_results(payloads).select("file_id", F.exists("results", lambda r: F.ltrim(r["fields"]).startswith("[")).alias("has_list"))
-    listed = listed.select("file_id", F.coalesce("has_list", F.lit(False)).alias("has_list"))
-    pairs = payloads.select("file_id", "prev_file_id").join(listed, "file_id")
-    pairs = pairs.join(listed.select(F.col("file_id").alias("prev_file_id"), F.col("has_list").alias("prev_has_list")), "prev_file_id")
-    both_listed = pairs.select("file_id", (F.col("has_list") & F.col("prev_has_list")).alias("both_listed"))
+    files = materialise(file_fields(payloads))
+    fields = field_inventory(files, ingested)
+    listed = files.select(F.col("file_id").alias("prev_file_id"), F.col("has_list").alias("prev_has_list"))
+    pairs = files.where("prev_file_id is not null").select("file_id", "prev_file_id", "has_list").join(listed, "prev_file_id")
 
     now = pairs.select("file_id").join(fields, "file_id").select("file_id", "field_id", F.col("field_type").alias("new_type"), F.lit(True).alias("is_now"))
     before = pairs.select("file_id", "prev_file_id").join(fields.withColumnRenamed("file_id", "prev_file_id"), "prev_file_id")
     before = before.select("file_id", "field_id", F.col("field_type").alias("old_type"), F.lit(True).alias("was"))
+    both_listed = pairs.select("file_id", "prev_file_id", (F.col("has_list") & F.col("prev_has_list")).alias("both_listed"))
     # Written once: the comparison feeds every part of the report.
     compared = materialise(now.join(before, ["file_id", "field_id"], "full").join(both_listed, "file_id"))
     gone, new = compared.where("is_now is null"), compared.where("was is null")
 
-    watch = new.groupBy("file_id").agg(F.collect_set("field_id").alias("new_ids")).join(gone.groupBy("file_id").agg(F.collect_set("field_id").alias("gone_ids")), "file_id")
-    watch = watch.join(pairs.select("file_id", "prev_file_id"), "file_id")
-
-    def held(file_column: str, ids: str, name: str) -> DataFrame:
-        """(file_id, record_id, name, value) of the watched fields."""
-        rows = ingested.where("record_id is not null").withColumnRenamed("file_id", "holder")
-        rows = rows.join(watch.select("file_id", F.col(file_column).alias("holder"), F.col(ids).alias("ids")), "holder")
-        wanted = F.map_filter(cells(rows), lambda k, v: F.array_contains("ids", k) & v.isNotNull())
-        rows = rows.select("file_id", "record_id", "record_no", F.explode(wanted).alias(name, "value"))
-        return rows.groupBy("file_id", "record_id", name).agg(canonical(F.min_by("value", "record_no")).alias(f"{name}_value"))
-
-    watch = watch.withColumn("own", F.col("file_id"))
-    old_cells, new_cells = held("prev_file_id", "gone_ids", "old_id"), held("own", "new_ids", "new_id")
-    agreed = old_cells.join(new_cells, ["file_id", "record_id"]).groupBy("file_id", "old_id", "new_id")
-    agreed = agreed.agg(F.count("*").alias("n"), F.count_if(F.col("old_id_value") == F.col("new_id_value")).alias("same")).where("10 * same >= 9 * n")
+    # Renames need the values of gone and new ids only, where a file has both.
+    new_ids = new.select("file_id", F.col("file_id").alias("holder"), F.col("field_id").alias("new_id")).join(gone.select("file_id"), "file_id", "left_semi")
+    old_ids = gone.select("file_id", F.col("prev_file_id").alias("holder"), F.col("field_id").alias("old_id")).join(new.select("file_id"), "file_id", "left_semi")
+    watched = new_ids.select("holder", F.col("new_id").alias("id")).union(old_ids.select("holder", "old_id")).groupBy("holder").agg(F.collect_set("id").alias("ids"))
+    rows = ingested.where("record_id is not null").join(watched.withColumnRenamed("holder", "file_id"), "file_id")
+    wanted = F.map_filter(cells(rows), lambda k, v: F.array_contains("ids", k) & v.isNotNull())
+    values = rows.select(F.col("file_id").alias("holder"), "record_id", "record_no", F.explode(wanted).alias("id", "value"))
+    values = materialise(values.groupBy("holder", "record_id", "id").agg(canonical(F.min_by("value", "record_no")).alias("value")))
+
+    old_values = values.withColumnsRenamed({"id": "old_id", "value": "old_value"}).join(old_ids, ["holder", "old_id"]).drop("holder")
+    new_values = values.withColumnsRenamed({"id": "new_id", "value": "new_value"}).join(new_ids, ["holder", "new_id"]).drop("holder")
+    agreed = old_values.join(new_values, ["file_id", "record_id"]).groupBy("file_id", "old_id", "new_id")
+    agreed = agreed.agg(F.count("*").alias("n"), F.count_if(F.col("old_value") == F.col("new_value")).alias("same")).where("10 * same >= 9 * n")
     best = Window.partitionBy("file_id", "new_id").orderBy((F.col("same") / F.col("n")).desc(), F.col("n").desc(), "old_id")
     agreed = materialise(agreed)
     renames = agreed.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select("file_id", "old_id", F.col("new_id").alias("field_id"))

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallyspan.functions.text import tokens
 from tallyspan.operators.topk import BestRows, best_of, blocks_of
+from tallyspan.session import materialise
 
 
 def term_counts(texts: DataFrame, key: str, column: str) -> DataFrame:
@@ -46,8 +47,9 @@ def top_k(queries: DataFrame, query_key: str, query_text: str, documents: DataFr
         raise ValueError("k must be at least 1")
     documents = documents.where(F.col(key).isNotNull())
     n = documents.count()
-    terms = term_counts(documents, key, column)
-    frequencies = document_frequencies(terms)
+    # The terms feed frequencies and norms, the frequencies also the queries.
+    terms = materialise(term_counts(documents, key, column))
+    frequencies = materialise(document_frequencies(terms))
     lengths = norms(terms, frequencies, n, key)
     asked = term_counts(queries, query_key, query_text)
     weighted = asked.join(frequencies, "token", "left").select(query_key, "token", F.col("tf").alias("qf"), idf(F.col("df"), n).alias("idf"))

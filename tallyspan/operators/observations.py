@@ -43,9 +43,20 @@ def region_records(region_rows: DataFrame) -> DataFrame:
     ).drop("_parent")
 
 
-def region_observations(region_rows: DataFrame) -> DataFrame:
-    """One row per region row and year."""
+def latest_records(rows: DataFrame) -> DataFrame:
+    """The row of the last load (then the last row) of each record.
+
+    A row holds all columns of its record, so this is also the last observation
+    of each evidence id, found before the rows are unpivoted.
+    """
+    best = rows.groupBy("record_id").agg(F.max(F.struct("load_id", "row_id")).alias("b")).select(F.col("b.row_id").alias("row_id"))
+    return rows.join(best, "row_id", "left_semi")
+
+
+def region_observations(region_rows: DataFrame, only_latest: bool = False) -> DataFrame:
+    """One row per region row and year, of all loads or the latest records."""
     rows = region_records(region_rows)
+    rows = latest_records(rows) if only_latest else rows
     long = rows.unpivot(["row_id", "load_id", "record_id", "region", "sex", "age_group"], count_columns(region_rows), "column_name", "raw")
     year = F.substring("column_name", 2, 4).cast("int")
     evidence = F.concat(F.lit(f"{REGION_SOURCE}:r"), F.col("record_id"), F.lit(":y"), year)
@@ -85,9 +96,10 @@ def census_column(column: Column) -> dict[str, Column]:
     }
 
 
-def census_observations(census_rows: DataFrame) -> DataFrame:
-    """One row per census row and count column."""
+def census_observations(census_rows: DataFrame, only_latest: bool = False) -> DataFrame:
+    """One row per census row and count column, of all loads or the latest records."""
     rows = census_records(census_rows)
+    rows = latest_records(rows) if only_latest else rows
     long = rows.unpivot(["row_id", "load_id", "record_id", "geography_level", "area", "subzone"], count_columns(census_rows), "column_name", "raw")
     long = long.withColumns(census_column(F.col("column_name")))
     evidence = F.concat(F.lit(f"{CENSUS_SOURCE}:r"), F.col("record_id"), F.lit(f":y{CENSUS_YEAR}:age_group="), slug(F.col("age_group")), F.lit(":sex="), slug(F.col("sex")))
@@ -99,16 +111,6 @@ def census_observations(census_rows: DataFrame) -> DataFrame:
     ).withColumns(parsed())
 
 
-def latest(observations: DataFrame) -> DataFrame:
-    """The observation of the last load (then last row) for each evidence id.
-
-    A maximum over a struct, so copies are dropped before the shuffle.
-    """
-    rest = [c for c in observations.columns if c not in ("evidence_id", "load_id", "row_id")]
-    best = observations.groupBy("evidence_id").agg(F.max_by(F.struct("load_id", "row_id", *rest), F.struct("load_id", "row_id")).alias("o"))
-    return best.select("evidence_id", "o.*")
-
-
 def entity(order: tuple[str, ...] = ("planning_region", "subzone", "planning_area", "geography")) -> Column:
     """The finest name of an observation's place."""
     return F.coalesce(*order, F.lit("Talmera"))

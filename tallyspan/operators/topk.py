@@ -18,14 +18,28 @@ class BestRows:
         self.scores = np.zeros((n_queries, 0))
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        """Scores of some rows (rows × queries); nan leaves a pair out."""
+        """Scores of some rows (rows × queries); nan leaves a pair out.
+
+        Only queries for which some row may enter their k best are sorted.
+        """
         if not len(ids):
             return
-        all_ids = np.concatenate([self.ids, np.broadcast_to(ids, (scores.shape[1], len(ids)))], axis=1)
-        all_scores = np.concatenate([self.scores, scores.T], axis=1)
+        if self.scores.shape[1] == self.k:
+            worst, worst_id = self.scores[:, -1], self.ids[:, -1]
+            better = (scores > worst) | ((scores == worst) & (ids[:, None] < worst_id)) | np.isnan(worst)
+            chosen = np.flatnonzero(better.any(axis=0))
+            useful = np.flatnonzero(better.any(axis=1))
+            ids, scores = ids[useful], scores[useful]
+        else:
+            chosen = np.arange(scores.shape[1])
+        all_ids = np.concatenate([self.ids[chosen], np.broadcast_to(ids, (len(chosen), len(ids)))], axis=1)
+        all_scores = np.concatenate([self.scores[chosen], scores.T[chosen]], axis=1)
         order = np.lexsort((all_ids, -np.nan_to_num(all_scores, nan=-np.inf)), axis=1)[:, : self.k]
-        self.ids = np.take_along_axis(all_ids, order, axis=1)
-        self.scores = np.take_along_axis(all_scores, order, axis=1)
+        best_ids, best_scores = np.take_along_axis(all_ids, order, axis=1), np.take_along_axis(all_scores, order, axis=1)
+        if len(chosen) == len(self.ids):
+            self.ids, self.scores = best_ids, best_scores
+        else:
+            self.ids[chosen], self.scores[chosen] = best_ids, best_scores
 
     def batch(self, query_ids: np.ndarray, query_key: str, key: str) -> pa.RecordBatch:
         kept = ~np.isnan(self.scores)

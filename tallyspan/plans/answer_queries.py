@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyspan.operators import answers, metrics, nested, observations as obs
+from tallyspan.operators import answers, metrics, nested
 from tallyspan.plans import evaluation_queries as ev, observation_queries as oq
 from tallyspan.session import table
 from tallyspan.sources import payloads
@@ -26,7 +26,7 @@ def payload_checks(spark: SparkSession, sf: str) -> DataFrame:
 def claim_support(spark: SparkSession, sf: str) -> DataFrame:
     """Whether the numbers of each claim follow from its evidence."""
     examples = table(spark, sf, "qa_examples")
-    values = obs.latest(obs.census_observations(table(spark, sf, "census_rows")).unionByName(obs.region_observations(table(spark, sf, "region_rows")))).where("value is not null")
+    values = oq.latest(spark, sf).where("value is not null")
     links = nested.flatten_evidence(examples).withColumn("evidence_id", F.lower(F.trim("evidence_id")))
     return answers.supported_claims(nested.flatten_claims(examples), links, values)
 

@@ -11,16 +11,17 @@ from tallyspan.session import table
 COLUMNS = ["evidence_id", "load_id", "row_id", "year", "geography_level", "planning_region", "planning_area", "subzone", "sex", "age_group", "status", "value"]
 
 
-def _region(spark: SparkSession, sf: str) -> DataFrame:
-    return obs.region_observations(table(spark, sf, "region_rows"))
+def _region(spark: SparkSession, sf: str, only_latest: bool = False) -> DataFrame:
+    return obs.region_observations(table(spark, sf, "region_rows"), only_latest)
 
 
-def _census(spark: SparkSession, sf: str) -> DataFrame:
-    return obs.census_observations(table(spark, sf, "census_rows"))
+def _census(spark: SparkSession, sf: str, only_latest: bool = False) -> DataFrame:
+    return obs.census_observations(table(spark, sf, "census_rows"), only_latest)
 
 
-def _latest(spark: SparkSession, sf: str) -> DataFrame:
-    return obs.latest(_region(spark, sf).unionByName(_census(spark, sf)))
+def latest(spark: SparkSession, sf: str) -> DataFrame:
+    """The last observation of each evidence id, of both sources."""
+    return _region(spark, sf, True).unionByName(_census(spark, sf, True))
 
 
 # --- SQL of the same tables ----------------------------------------------------
@@ -90,7 +91,7 @@ def observations_census(spark: SparkSession, sf: str) -> DataFrame:
 
 def latest_observations(spark: SparkSession, sf: str) -> DataFrame:
     """The last published observation of each evidence id."""
-    return _latest(spark, sf).select("evidence_id", "load_id", "row_id", "status", "value")
+    return latest(spark, sf).select("evidence_id", "load_id", "row_id", "status", "value")
 
 
 def duplicate_evidence(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,13 +127,13 @@ def wide_regions(spark: SparkSession, sf: str) -> DataFrame:
 
 def fact_statements(spark: SparkSession, sf: str) -> DataFrame:
     """Fact id and statement of each observed latest observation."""
-    rows = _latest(spark, sf).where("status = 'observed'")
+    rows = latest(spark, sf).where("status = 'observed'")
     return rows.select("evidence_id", facts.fact_id("lookup", F.array("evidence_id")).alias("fact_id"), facts.statement(obs.entity()).alias("statement"))
 
 
 def fact_sum_65_up(spark: SparkSession, sf: str) -> DataFrame:
     """Residents aged 65 and over by place and sex, from the bands that cover it."""
-    rows = _latest(spark, sf).withColumns({"place": obs.entity(), "kind": F.lit("at_least"), "low": F.lit(65), "high": F.lit(None).cast("int")})
+    rows = latest(spark, sf).withColumns({"place": obs.entity(), "kind": F.lit("at_least"), "low": F.lit(65), "high": F.lit(None).cast("int")})
     band = text.age_band(F.col("age_group"))
     rows = rows.where(band["low"] >= 65)
     return facts.sum_over(rows, ["source_id", "place", "geography_level", "year", "sex"])
@@ -140,20 +141,20 @@ def fact_sum_65_up(spark: SparkSession, sf: str) -> DataFrame:
 
 def fact_difference_years(spark: SparkSession, sf: str) -> DataFrame:
     """Change from 2019 to 2025 by region, sex and age group."""
-    rows = obs.latest(_region(spark, sf)).where("planning_region is not null")
+    rows = _region(spark, sf, True).where("planning_region is not null")
     return facts.difference(rows, ["record_id", "planning_region", "sex", "age_group"], "year", 2019, 2025)
 
 
 def fact_comparison_sexes(spark: SparkSession, sf: str) -> DataFrame:
     """Males against females by census area and age group, summed over rows."""
-    rows = obs.latest(_census(spark, sf)).where("geography_level = 'planning_area' and sex <> 'Total'")
+    rows = _census(spark, sf, True).where("geography_level = 'planning_area' and sex <> 'Total'")
     rows = rows.groupBy("planning_area", "age_group", "sex").agg(F.sum("value").alias("value"))
     return facts.difference(rows, ["planning_area", "age_group"], "sex", "Male", "Female")
 
 
 def fact_largest_area(spark: SparkSession, sf: str) -> DataFrame:
     """The largest planning area for each sex and age group; none where tied."""
-    rows = obs.latest(_census(spark, sf)).where("geography_level = 'planning_area'")
+    rows = _census(spark, sf, True).where("geography_level = 'planning_area'")
     return facts.unique_maximum(rows, ["sex", "age_group"], "planning_area")
 
 
@@ -161,7 +162,7 @@ def fact_trend_years(spark: SparkSession, sf: str) -> DataFrame:
     """Direction of each region series from one observed year to the next."""
     from pyspark.sql import Window
 
-    rows = obs.latest(_region(spark, sf)).where("value is not null")
+    rows = _region(spark, sf, True).where("value is not null")
     order = Window.partitionBy("record_id").orderBy("year")
     rows = rows.withColumns({"before": F.lag("value").over(order), "year_before": F.lag("year").over(order)}).where("before is not null")
     direction = F.when(F.col("value") > F.col("before"), "increase").when(F.col("value") < F.col("before"), "decrease").otherwise("equal")
@@ -170,7 +171,7 @@ def fact_trend_years(spark: SparkSession, sf: str) -> DataFrame:
 
 def qualification_flags(spark: SparkSession, sf: str) -> DataFrame:
     """Per record: rounded source, boundary change between years, snapshot."""
-    rows = _latest(spark, sf).where("status = 'observed'")
+    rows = latest(spark, sf).where("status = 'observed'")
     region = F.col("source_id") == obs.REGION_SOURCE
     return rows.groupBy("source_id", "record_id").agg(
         F.max(region).alias("is_rounded"),
@@ -269,7 +270,7 @@ def question_evidence(spark: SparkSession, sf: str) -> DataFrame:
     asked = _questions(spark, sf).select("example_id", F.explode(text.years(q)).alias("year"), F.when(F.size(text.sexes(q)) == 0, F.array(F.lit("Total"))).otherwise(text.sexes(q)).alias("s"))
     asked = asked.select("example_id", "year", F.explode("s").alias("sex"))
     asked = asked.join(_question_places(spark, sf), "example_id").join(_covered(spark, sf).select("example_id", "age_group", "band_low"), "example_id")
-    units = obs.latest(_census(spark, sf)).withColumn("place", F.coalesce("subzone", "planning_area", "geography")).select("place", "year", "sex", "age_group", "evidence_id", "status", "value")
+    units = _census(spark, sf, True).withColumn("place", F.coalesce("subzone", "planning_area", "geography")).select("place", "year", "sex", "age_group", "evidence_id", "status", "value")
     found = asked.join(units, ["place", "year", "sex", "age_group"])
     order = Window.partitionBy("example_id").orderBy("year", "band_low", "sex", "evidence_id")
     return found.select("example_id", F.row_number().over(order).alias("rank"), "evidence_id", "status", "value")

@@ -40,10 +40,23 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+#: A scan of more bytes than this is spread if it has fewer partitions than cores.
+SPREAD_BYTES = 2_000_000
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """One of the parquet tables of a data directory."""
+    """One of the parquet tables of a data directory.
+
+    A table in a few unsplittable files would keep most cores idle, so its rows
+    are spread; a table of many splits, as any large one, is read as it is.
+    """
     ship(spark)
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    rows = spark.read.parquet(f"{directory}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > SPREAD_BYTES and rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores)
+    return rows
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyspan.operators import answers, metrics, nested
+from tallyspan.functions import text
+from tallyspan.operators import answers, drift, metrics, nested
 from tallyspan.plans import evaluation_queries as ev, observation_queries as oq
 from tallyspan.session import table
-from tallyspan.sources import payloads
+from tallyspan.sources import payloads, registry
 
 # The message for each state of the evidence.
 MESSAGES = {
@@ -23,6 +24,37 @@ def payload_checks(spark: SparkSession, sf: str) -> DataFrame:
     return payloads.payload_checks(table(spark, sf, "source_payloads"))
 
 
+def field_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Declared payload fields that their source does not expect."""
+    rows = table(spark, sf, "source_payloads")
+    return registry.field_faults(drift.file_fields(rows).join(rows.select("file_id", "source_id"), "file_id"))
+
+
+def claim_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Label of each example by its claims: all, some or none of them supported."""
+    claims = nested.flatten_claims(table(spark, sf, "qa_examples")).withColumn("good", F.coalesce(F.lower("supported") == "true", F.lit(False)))
+    label = F.when(F.bool_and("good"), "ANSWERABLE").when(F.bool_or("good"), "PARTIALLY_ANSWERABLE").otherwise("INSUFFICIENT_EVIDENCE")
+    return claims.groupBy("example_id").agg(F.count("*").alias("n_claims"), label.alias("label"))
+
+
+# Attributes outside the data, and words of a forecast; the first
+# that a question holds names it.
+OUTSIDE = (
+    "household income", "income", "school quality", "schools", "school", "education", "health", "housing price", "resale price", "employment", "unemployment", "ethnicity",
+    "life expectancy", "household size", "election", "voted", "opinion",
+)
+FORECAST = ("forecast", "predict", "prediction", "project", "projection", "estimate for", "will", "holds")
+
+
+def question_domains(spark: SparkSession, sf: str) -> DataFrame:
+    """Attribute outside the data, forecast word and first clause of questions."""
+    words = F.concat(F.lit(" "), text.phrase(F.col("question")), F.lit(" "))
+    first = lambda terms: F.get(F.filter(F.array(*map(F.lit, terms)), lambda t: words.contains(F.concat(F.lit(" "), t, F.lit(" ")))), F.lit(0))
+    clause = F.regexp_extract("question", r"(?i)^(.*?), *and +(?:why|what explains|explain|had|has|would|say whether|forecast|predict|project|how much|what was|what were|what is)", 1)
+    rows = table(spark, sf, "qa_examples").where("question is not null")
+    return rows.select("example_id", first(OUTSIDE).alias("attribute"), first(FORECAST).alias("forecast"), F.nullif(clause, F.lit("")).alias("first_clause"))
+
+
 def claim_support(spark: SparkSession, sf: str) -> DataFrame:
     """Whether the numbers of each claim follow from its evidence."""
     examples = table(spark, sf, "qa_examples")
@@ -63,12 +95,16 @@ def policy_summary(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (payload_checks, claim_support, answers_or_reasons, policy_summary)}
+QUERIES = {f.__name__: f for f in (payload_checks, field_faults, question_domains, claim_labels, claim_support, answers_or_reasons, policy_summary)}
 
 _DECIDED = f"""{ev._P.replace("p AS (", "WITH p AS (", 1)}, st AS ({oq.ORACLES["support_status"]}), ev AS ({oq.ORACLES["question_evidence"]}),
   decided AS (SELECT q.example_id, q.question, p.gold, coalesce(st.status, 'no_age') AS status FROM qa_examples q JOIN p USING (example_id) LEFT JOIN st USING (example_id) WHERE q.question IS NOT NULL)"""
 _REASON = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MESSAGES.items())
+_FIRST = lambda terms: "list_filter([" + ", ".join(f"'{t}'" for t in terms) + "], lambda t: contains(w, ' ' || t || ' '))[1]"
 ORACLES = {
+    "question_domains": f"""WITH q AS (SELECT example_id, question, ' ' || {ev._PHRASE.format("question")} || ' ' AS w FROM qa_examples WHERE question IS NOT NULL)
+        SELECT example_id, {_FIRST(OUTSIDE)} AS attribute, {_FIRST(FORECAST)} AS forecast,
+          nullif(regexp_extract(question, '(?i)^(.*?), *and +(?:why|what explains|explain|had|has|would|say whether|forecast|predict|project|how much|what was|what were|what is)', 1), '') AS first_clause FROM q""",
     "answers_or_reasons": f"""{_DECIDED}, f AS (SELECT example_id, string_agg(evidence_id || ' = ' || CASE WHEN value = floor(value) THEN format('{{:,}}', CAST(value AS BIGINT)) ELSE regexp_replace(format('{{:,.6f}}', value), '\\.?0+$', '') END, '; ' ORDER BY rank) AS facts
           FROM ev WHERE value IS NOT NULL GROUP BY example_id)
         SELECT example_id, status, CASE WHEN status = 'supported' THEN facts ELSE CASE status {_REASON} END END AS response FROM decided LEFT JOIN f USING (example_id)""",

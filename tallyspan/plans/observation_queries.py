@@ -186,6 +186,13 @@ def availability(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("source_id", "geography_level", "year").agg(F.count("*").alias("n_observed"))
 
 
+def registry_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct places, age groups and sexes of the observations, by level."""
+    rows = latest(spark, sf).withColumn("place", obs.entity())
+    named = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("name")) for k, c in (("place", "place"), ("age_group", "age_group"), ("sex", "sex")))))
+    return rows.select("geography_level", named.alias("x")).groupBy("geography_level", "x.kind", "x.name").agg(F.count("*").alias("n"))
+
+
 # --- questions -------------------------------------------------------------------
 
 
@@ -359,7 +366,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         observations_region, observations_census, latest_observations, duplicate_evidence, status_profile, searchable_texts, wide_regions,
-        fact_statements, fact_sum_65_up, fact_difference_years, fact_comparison_sexes, fact_largest_area, fact_trend_years, qualification_flags, availability,
+        fact_statements, fact_sum_65_up, fact_difference_years, fact_comparison_sexes, fact_largest_area, fact_trend_years, qualification_flags, availability, registry_values,
         question_facts, question_operations, question_age_bands, question_places, question_evidence, support_status,
     )
 }
@@ -400,6 +407,8 @@ ORACLES = {
         SELECT source_id, record_id, bool_or(geography_level = 'planning_region') AS is_rounded, bool_or(geography_level = 'planning_region' AND year = 2019) AND bool_or(geography_level = 'planning_region' AND year >= 2020) AS has_boundary_change,
           bool_or(geography_level IS DISTINCT FROM 'planning_region') AS is_snapshot FROM s GROUP BY ALL""",
     "availability": f"WITH {LATEST_SQL} SELECT split_part(evidence_id, ':', 1) AS source_id, geography_level, year, count(*) AS n_observed FROM all_obs WHERE status = 'observed' GROUP BY ALL",
+    "registry_values": f"""WITH {LATEST_SQL}, x AS (SELECT geography_level, unnest([{{'kind': 'place', 'name': {PLACE_SQL}}}, {{'kind': 'age_group', 'name': age_group}}, {{'kind': 'sex', 'name': sex}}]) AS v FROM latest)
+        SELECT geography_level, v.kind AS kind, v.name AS name, count(*) AS n FROM x GROUP BY ALL""",
     "question_facts": f"""WITH {_Q_SQL} SELECT y.example_id, array_to_string(years, ',') AS years, kind AS age_kind, low AS age_low, high AS age_high, array_to_string(sexes, ',') AS sexes
         FROM asked_years y JOIN constraints USING (example_id) JOIN asked_sexes USING (example_id)""",
     "question_operations": rf"""WITH {_Q_SQL}, w AS (SELECT example_id, ' ' || trim(regexp_replace(lower(question), '[^\p{{L}}0-9]+', ' ', 'g'), ' ') || ' ' AS words, years FROM asked_years)

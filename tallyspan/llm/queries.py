@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyspan.llm import leakage, overlap, packing, reading
+from tallyspan.llm import leakage, oracles, overlap, packing, reading
 from tallyspan.session import table
 
 
@@ -67,4 +67,4 @@ def p8_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_report, p6_containers, p6_fill, p7_found, p7_report, p8_found, p8_levels)}
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES

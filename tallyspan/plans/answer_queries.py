@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyspan.functions import text
 from tallyspan.operators import answers, drift, metrics, nested
-from tallyspan.plans import evaluation_queries as ev, observation_queries as oq
+from tallyspan.plans import evaluation_queries as ev, nested_sql, observation_queries as oq
 from tallyspan.session import table
 from tallyspan.sources import payloads, registry
 
@@ -102,6 +102,7 @@ _DECIDED = f"""{ev._P.replace("p AS (", "WITH p AS (", 1)}, st AS ({oq.ORACLES["
 _REASON = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MESSAGES.items())
 _FIRST = lambda terms: "list_filter([" + ", ".join(f"'{t}'" for t in terms) + "], lambda t: contains(w, ' ' || t || ' '))[1]"
 ORACLES = {
+    "claim_labels": nested_sql.CLAIM_LABELS,
     "question_domains": f"""WITH q AS (SELECT example_id, question, ' ' || {ev._PHRASE.format("question")} || ' ' AS w FROM qa_examples WHERE question IS NOT NULL)
         SELECT example_id, {_FIRST(OUTSIDE)} AS attribute, {_FIRST(FORECAST)} AS forecast,
           nullif(regexp_extract(question, '(?i)^(.*?), *and +(?:why|what explains|explain|had|has|would|say whether|forecast|predict|project|how much|what was|what were|what is)', 1), '') AS first_clause FROM q""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyspan.operators import drift, nested, profile, rowparse
-from tallyspan.plans import nested_sql
+from tallyspan.plans import drift_sql, nested_sql
 from tallyspan.session import materialise, table
 
 
@@ -118,6 +118,7 @@ _MARK = r"(CASE delim WHEN '|' THEN '\|' ELSE delim END)"
 ORACLES: dict[str, str] = {
     "p1_found": nested_sql.P1_FOUND,
     "p1_claims": nested_sql.P1_CLAIMS,
+    "p2_found": drift_sql.P2_FOUND,
     "p3_found": rf"""WITH l AS (
         SELECT line_id, file_no, line_no, regexp_full_match(raw_line, {_FIELD} || '(?:' || {_MARK} || {_FIELD} || ')*') AS quoted_well,
           [CASE WHEN starts_with(x, '"') THEN replace(x[2:-2], '""', '"') ELSE x END FOR x IN regexp_extract_all(delim || raw_line, {_MARK} || '(' || {_FIELD} || ')', 1)] AS fields FROM region_lines),

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyspan.session import materialise
 
-BUCKETS = 96
+BUCKETS = 256
 
 
 @lru_cache(maxsize=4)

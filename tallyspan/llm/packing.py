@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyspan.session import materialise
 
-BUCKETS = 256
+BUCKETS = 384
 
 
 @lru_cache(maxsize=4)
@@ -71,13 +71,7 @@ def bucket_bounds(sizes: np.ndarray, counts: np.ndarray, buckets: int) -> np.nda
     cost = np.concatenate([[0.0], sizes * number[1:] - volume[1:]])
     choice = np.zeros((buckets, n + 1), dtype=np.int32)
     for k in range(1, buckets):
-        fresh = cost.copy()
-        for j in range(k + 1, n + 1):
-            upper = sizes[j - 1]
-            total = cost[k:j] + upper * (number[j] - number[k:j]) - (volume[j] - volume[k:j])
-            best = int(np.argmin(total))
-            fresh[j], choice[k, j] = total[best], k + best
-        cost = fresh
+        cost, choice[k] = _one_more_bucket(cost, sizes, number, volume, k)
     bounds, j = [], n
     for k in range(buckets - 1, -1, -1):
         bounds.append(sizes[j - 1])
@@ -87,6 +81,37 @@ def bucket_bounds(sizes: np.ndarray, counts: np.ndarray, buckets: int) -> np.nda
     return np.array(bounds[::-1])
 
 
+def _one_more_bucket(cost: np.ndarray, sizes: np.ndarray, number: np.ndarray, volume: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Costs with one more bucket, and where that bucket starts.
+
+    The best start never moves back as more sizes are covered, so the middle of
+    a range of ends bounds the starts of both its halves; all ranges of one
+    depth are searched at once.
+    """
+    n = len(sizes)
+    fresh, choice = cost.copy(), np.zeros(n + 1, dtype=np.int32)
+    low, high, first, last = (np.array([x]) for x in (k + 1, n, k, n - 1))
+    while len(low):
+        end = (low + high) // 2
+        length = np.minimum(end - 1, last) - first + 1
+        begins = np.cumsum(length) - length
+        start = np.repeat(first - begins, length) + np.arange(length.sum())
+        ends = np.repeat(end, length)
+        total = cost[start] + sizes[ends - 1] * (number[ends] - number[start]) - (volume[ends] - volume[start])
+        least = np.minimum.reduceat(total, begins)
+        hits = np.flatnonzero(total == np.repeat(least, length))
+        best = start[hits[np.searchsorted(hits, begins)]]
+        fresh[end], choice[end] = least, best
+        left, right = low < end, end < high
+        low, high, first, last = (
+            np.concatenate([low[left], end[right] + 1]),
+            np.concatenate([end[left] - 1, high[right]]),
+            np.concatenate([first[left], best[right]]),
+            np.concatenate([best[left], last[right]]),
+        )
+    return fresh, choice
+
+
 def plan_containers(bounds: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int, int, dict[int, int]]]:
     """(first container, containers, items of each bucket in one container).
 

@@ -45,7 +45,9 @@ def faulty_cells(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     ``pattern``: neither missing nor a number; ``range``: a number below 0 or
     above 10,000,000.
     """
-    cells = long_cells(df, [key], columns).where(F.col("raw").isNotNull())
+    # A whole number of up to seven digits and a dash break no rule; they are
+    # most cells, and one look tells.
+    cells = long_cells(df, [key], columns).where(F.col("raw").isNotNull() & (F.col("raw") != "-") & ~F.col("raw").rlike("^[0-9]{1,7}$"))
     value = number(F.col("raw"))
     kind = F.when(is_number(F.col("raw")), F.when((value < LOWEST) | (value > HIGHEST), "range")).when(~is_missing(F.col("raw")), "pattern")
     return cells.select(kind.alias("check_kind"), F.col(key).cast("long").alias("key_id"), "column_name").where("check_kind is not null")

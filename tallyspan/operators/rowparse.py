@@ -161,10 +161,10 @@ def judged(lines: DataFrame) -> DataFrame:
     Adds fault_offset for a quoting fault and bad_column (the first one) for an
     invalid value.
     """
-    tokens = tokenise(lines)
-    headers = tokens.where("line_no = 0 and fault_offset is null").groupBy("file_no").agg(F.min_by("fields", "line_id").alias("names"))
+    # The tokenizer hides filters from the scan, so they come before it.
+    headers = tokenise(lines.where("line_no = 0")).where("fault_offset is null").groupBy("file_no").agg(F.min_by("fields", "line_id").alias("names"))
     headers = headers.withColumn("names", F.transform("names", lambda n: F.regexp_replace(F.trim(n), "^﻿", "")))
-    rows = tokens.where("line_no is distinct from 0").join(headers, "file_no", "left")
+    rows = tokenise(lines.where("line_no is distinct from 0")).join(headers, "file_no", "left")
     bad = F.filter(F.arrays_zip("names", "fields"), lambda x: _invalid(x["names"], x["fields"]))
     fits = F.coalesce(F.size("fields") == F.size("names"), F.lit(False)) & F.col("names").isNotNull()
     rows = rows.withColumn("_bad", F.when(fits, F.get(bad, F.lit(0))["names"]))

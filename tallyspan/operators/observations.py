@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyspan.functions.numbers import is_missing, is_number, number
 from tallyspan.functions.text import slug
 from tallyspan.operators.fill import fill_forward
-from tallyspan.operators.profile import count_columns
+from tallyspan.operators.profile import count_columns, long_cells
 
 REGION_SOURCE = "residents_by_planning_region_annual"
 CENSUS_SOURCE = "resident_population_census_2020"
@@ -57,7 +57,7 @@ def region_observations(region_rows: DataFrame, only_latest: bool = False) -> Da
     """One row per region row and year, of all loads or the latest records."""
     rows = region_records(region_rows)
     rows = latest_records(rows) if only_latest else rows
-    long = rows.unpivot(["row_id", "load_id", "record_id", "region", "sex", "age_group"], count_columns(region_rows), "column_name", "raw")
+    long = long_cells(rows, ["row_id", "load_id", "record_id", "region", "sex", "age_group"], count_columns(region_rows))
     year = F.substring("column_name", 2, 4).cast("int")
     evidence = F.concat(F.lit(f"{REGION_SOURCE}:r"), F.col("record_id"), F.lit(":y"), year)
     none = F.lit(None).cast("string")
@@ -100,7 +100,7 @@ def census_observations(census_rows: DataFrame, only_latest: bool = False) -> Da
     """One row per census row and count column, of all loads or the latest records."""
     rows = census_records(census_rows)
     rows = latest_records(rows) if only_latest else rows
-    long = rows.unpivot(["row_id", "load_id", "record_id", "geography_level", "area", "subzone"], count_columns(census_rows), "column_name", "raw")
+    long = long_cells(rows, ["row_id", "load_id", "record_id", "geography_level", "area", "subzone"], count_columns(census_rows))
     long = long.withColumns(census_column(F.col("column_name")))
     evidence = F.concat(F.lit(f"{CENSUS_SOURCE}:r"), F.col("record_id"), F.lit(f":y{CENSUS_YEAR}:age_group="), slug(F.col("age_group")), F.lit(":sex="), slug(F.col("sex")))
     none = F.lit(None).cast("string")

@@ -34,9 +34,14 @@ def count_columns(df: DataFrame) -> list[str]:
 
 
 def long_cells(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Unpivots ``columns`` to (column_name, raw) and keeps ``keys``."""
-    texts = df.select(*keys, *(F.col(c).cast("string").alias(c) for c in columns))
-    return texts.unpivot(list(keys), list(columns), "column_name", "raw")
+    """Unpivots ``columns`` to (column_name, raw) and keeps ``keys``.
+
+    An array and its explosion: with sixty columns the code that is generated
+    for ``unpivot`` outgrows what the JVM compiles.
+    """
+    cells = F.array(*(F.col(c).cast("string") for c in columns))
+    long = df.select(*keys, F.posexplode(cells).alias("_place", "raw"))
+    return long.select(*keys, F.element_at(F.array(*map(F.lit, columns)), F.col("_place") + 1).alias("column_name"), "raw")
 
 
 def faulty_cells(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

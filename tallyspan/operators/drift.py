@@ -162,18 +162,24 @@ def promote(
 ) -> DataFrame:
     """Replays rescued values into typed columns.
 
-    A field that the report calls a rename of a target field (over up to three
-    renames within its resource) fills that field's column where it is empty.
+    A field that the report calls a rename of a target field (over any number
+    of renames within its resource) fills that field's column where it is empty.
+    A chain that comes to another target field ends there.
     ``approved`` (field id to column and type) adds columns for further fields.
     Values that cannot be cast, and all other fields, stay in ``_rescued``.
     """
     approved = approved or {}
     resource = ingested.select("file_id", "resource_id").distinct()
     step = report.where("change_kind = 'renamed'").join(resource, "file_id").select("resource_id", F.col("old_id").alias("target_id"), F.col("field_id").alias("alias_id")).distinct()
-    found = step.where(F.col("target_id").isin(list(target)))
-    for _ in range(2):
-        further = step.withColumnRenamed("target_id", "via").join(found.withColumnRenamed("alias_id", "via"), ["resource_id", "via"]).select("resource_id", "target_id", "alias_id")
-        found = found.unionByName(further).distinct()
+    # Each round follows the aliases of the round before by one rename, and ends
+    # at files; there are as many rounds as the longest chain has renames.
+    step = materialise(step)
+    found = last = materialise(step.where(F.col("target_id").isin(list(target))))
+    while last.limit(1).count():
+        open_ends = last.where(~F.col("alias_id").isin(list(target))).withColumnRenamed("alias_id", "via")
+        further = step.withColumnRenamed("target_id", "via").join(open_ends, ["resource_id", "via"]).select("resource_id", "target_id", "alias_id")
+        last = materialise(further.distinct().join(found, ["resource_id", "target_id", "alias_id"], "left_anti"))
+        found = found.unionByName(last)
     aliases = found.groupBy("resource_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("alias_id", "target_id")))).alias("_aliases"))
 
     rows = ingested.join(aliases, "resource_id", "left")

@@ -86,3 +86,12 @@ def test_rescue_keeps_every_value_and_promotes(spark):
     assert row.y2021 is None and json.loads(row._rescued) == {"2021 revised": "103", "Note": "n", "2020": "n/k"}
     done = drift.promote(ingested, drift.changes(payloads, ingested), {"Note": ("note", "string")}).where("file_id = 2 and record_id = 3").first()
     assert (int(done.y2021), done.note, json.loads(done._rescued)) == (103, "n", {"2020": "n/k"})
+
+
+def test_chains_of_renames(spark):
+    names = ["DataSeries", "data_series", "data series", "DATA SERIES2", "data series2_new", "Series (r)", "data_series"]
+    bodies = [payload(None, [{"_id": i, n: f"s{i}"} for i in range(10)]) for n in names]
+    payloads = spark.createDataFrame([(k, "s", "r", k - 1 if k else None, b, "", "") for k, b in enumerate(bodies)], PAYLOADS)
+    ingested = drift.ingest_payloads(payloads)
+    done = drift.promote(ingested, drift.changes(payloads, ingested)).select("file_id", "record_id", "data_series", "_rescued").collect()
+    assert sorted(tuple(r) for r in done) == [(k, i, f"s{i}", None) for k in range(len(names)) for i in range(10)]

@@ -23,22 +23,20 @@ from tallyspan.functions.loose_json import objects
 from tallyspan.functions.numbers import canonical
 from tallyspan.operators.nested import flatten_records, payload_results
 from tallyspan.session import materialise
+from tallyspan.sources.registry import census_ids, sources
 
 COUNT = "decimal(24,6)"
 _CASTABLE = r"^[+-]?(?=\.?[0-9])0*[0-9]{0,18}(\.[0-9]{0,6}0*)?$"
 
 
-def census_ids() -> dict[str, str]:
-    """Field id to column name of the census counts."""
-    ages = ["Total", *(f"{a}_{a + 4}" for a in range(0, 90, 5)), "90andOver"]
-    return {f"{s}_{a}": f"{s}_{a}".lower() for s in ("Total", "Males", "Females") for a in ages}
+_YEAR = r"^[0-9]{4}$"
 
-
-#: Field id to (column name, type) of the consistent table.
+#: Field id to (column name, type) of the consistent table: the label fields,
+#: and the years and counts that the registry declares.
 TARGET: dict[str, tuple[str, str]] = {
     "Number": ("number_label", "string"),
     "DataSeries": ("data_series", "string"),
-    **{str(y): (f"y{y}", COUNT) for y in range(2025, 2009, -1)},
+    **{i: (f"y{i}", COUNT) for s in sources() for i, _ in s.fields if i.isdigit()},
     **{i: (c, COUNT) for i, c in census_ids().items()},
 }
 
@@ -66,6 +64,16 @@ def ingest(records: DataFrame, target: Mapping[str, tuple[str, str]] = TARGET) -
     return records.select(*others, *columns, F.when(F.size(rescued) > 0, F.to_json(rescued)).alias("_rescued"))
 
 
+def further_years(ingested: DataFrame, target: Mapping[str, tuple[str, str]] = TARGET) -> dict[str, tuple[str, str]]:
+    """Field id to column and type of the years of the records that ``target`` lacks.
+
+    Taken from the rescued values, so that years of a first file count too.  Ids
+    of four digits bound what is collected.
+    """
+    ids = ingested.select(F.explode(F.map_keys(F.from_json("_rescued", "map<string,string>"))).alias("id")).where(F.col("id").rlike(_YEAR) & ~F.col("id").isin(list(target)))
+    return {i: (f"y{i}", COUNT) for i in sorted((r.id for r in ids.distinct().collect()), reverse=True)}
+
+
 def cells(ingested: DataFrame, target: Mapping[str, tuple[str, str]] = TARGET) -> Column:
     """Map of field id to text over typed and rescued values of a record.
 
@@ -164,19 +172,21 @@ def promote(
 
     A field that the report calls a rename of a target field (over any number
     of renames within its resource) fills that field's column where it is empty.
-    A chain that comes to another target field ends there.
-    ``approved`` (field id to column and type) adds columns for further fields.
+    A chain that comes to another target field ends there.  ``approved`` (field
+    id to column and type) adds columns for further fields, whose renames count
+    likewise.
     Values that cannot be cast, and all other fields, stay in ``_rescued``.
     """
     approved = approved or {}
+    known = list({**target, **approved})
     resource = ingested.select("file_id", "resource_id").distinct()
     step = report.where("change_kind = 'renamed'").join(resource, "file_id").select("resource_id", F.col("old_id").alias("target_id"), F.col("field_id").alias("alias_id")).distinct()
     # Each round follows the aliases of the round before by one rename, and ends
     # at files; there are as many rounds as the longest chain has renames.
     step = materialise(step)
-    found = last = materialise(step.where(F.col("target_id").isin(list(target))))
+    found = last = materialise(step.where(F.col("target_id").isin(known)))
     while last.limit(1).count():
-        open_ends = last.where(~F.col("alias_id").isin(list(target))).withColumnRenamed("alias_id", "via")
+        open_ends = last.where(~F.col("alias_id").isin(known)).withColumnRenamed("alias_id", "via")
         further = step.withColumnRenamed("target_id", "via").join(open_ends, ["resource_id", "via"]).select("resource_id", "target_id", "alias_id")
         last = materialise(further.distinct().join(found, ["resource_id", "target_id", "alias_id"], "left_anti"))
         found = found.unionByName(last)
@@ -188,7 +198,7 @@ def promote(
     moved = F.map_filter("_left", lambda k, v: F.col("_aliases")[k].isNotNull() & v.isNotNull())
     rows = rows.withColumn("_moved", F.map_from_entries(F.transform(F.map_entries(moved), lambda e: F.struct(F.col("_aliases")[e["key"]], e["value"]))))
     columns = {name: F.coalesce(F.col(name), _typed(kind, F.col("_moved")[i])) for i, (name, kind) in target.items()}
-    columns |= {name: _typed(kind, F.col("_left")[i]) for i, (name, kind) in approved.items()}
+    columns |= {name: F.coalesce(_typed(kind, F.col("_left")[i]), _typed(kind, F.col("_moved")[i])) for i, (name, kind) in approved.items()}
     counts = [i for i, (_, kind) in {**target, **approved}.items() if kind != "string"]
 
     def replayed(k: Column, v: Column) -> Column:

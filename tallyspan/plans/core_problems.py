@@ -48,10 +48,13 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_table(spark: SparkSession, sf: str) -> DataFrame:
-    """All records in one table: typed, renamed fields replayed, rest as JSON."""
+    """All records in one table: typed, renamed fields replayed, rest as JSON.
+
+    Years that no source declares have columns after the approved fields.
+    """
     payloads = table(spark, sf, "source_payloads")
     ingested = materialise(drift.ingest_payloads(payloads))
-    return drift.promote(ingested, drift.changes(payloads, ingested), APPROVED)
+    return drift.promote(ingested, drift.changes(payloads, ingested), APPROVED | drift.further_years(ingested))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -95,3 +95,14 @@ def test_chains_of_renames(spark):
     ingested = drift.ingest_payloads(payloads)
     done = drift.promote(ingested, drift.changes(payloads, ingested)).select("file_id", "record_id", "data_series", "_rescued").collect()
     assert sorted(tuple(r) for r in done) == [(k, i, f"s{i}", None) for k in range(len(names)) for i in range(10)]
+
+
+def test_every_year_is_typed(spark):
+    names = [("1950", "2009", "2027"), ("1950 (r)", "2009_p", "FY2027")]
+    bodies = [payload(None, [{"_id": i} | {n: str(100 * k + i) for k, n in enumerate(ns)} for i in range(10)]) for ns in names]
+    payloads = spark.createDataFrame([(k, "s", "r", k - 1 if k else None, b, "", "") for k, b in enumerate(bodies)], PAYLOADS)
+    ingested = drift.ingest_payloads(payloads)
+    further = drift.further_years(ingested)
+    assert further == {"2027": ("y2027", drift.COUNT)} and drift.further_years(ingested.limit(0)) == {}
+    done = drift.promote(ingested, drift.changes(payloads, ingested), further).select("file_id", "record_id", "y1950", "y2009", "y2027", "_rescued").collect()
+    assert sorted(tuple(r) for r in done) == [(f, i, i, 100 + i, 200 + i, None) for f in range(2) for i in range(10)]

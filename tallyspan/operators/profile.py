@@ -148,22 +148,24 @@ def load_shifts(df: DataFrame, loads: DataFrame, table_name: str, columns: Seque
     )
 
 
-def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def profile(df: DataFrame, columns: Sequence[str], numbers: Sequence[str] | None = None) -> DataFrame:
     """One row per column: rows, nulls, markers, distinct values, range, faults.
 
     Equal values of a column are counted first, so the final grouping sees each
-    distinct value once.
+    distinct value once.  Range and faults are null for columns that are not in
+    ``numbers`` (by default all are).
     """
     values = long_cells(df, [], columns).groupBy("column_name", "raw").agg(F.count("*").alias("n"))
     raw, value = F.col("raw"), number(F.col("raw"))
     total = lambda when: F.sum(F.when(when, F.col("n")).otherwise(0))
+    counts = lambda result: result if numbers is None else F.when(F.col("column_name").isin(list(numbers)), result)
     return values.groupBy("column_name").agg(
         F.sum("n").alias("n_rows"),
         total(raw.isNull()).alias("n_null"),
         total(raw.isNotNull() & is_missing(raw)).alias("n_marker"),
         F.count("raw").alias("n_distinct"),
-        F.min(value).alias("min_value"),
-        F.max(value).alias("max_value"),
-        total(raw.isNotNull() & ~is_missing(raw) & ~is_number(raw)).alias("n_pattern"),
-        total((value < LOWEST) | (value > HIGHEST)).alias("n_range"),
+        counts(F.min(value)).alias("min_value"),
+        counts(F.max(value)).alias("max_value"),
+        counts(total(raw.isNotNull() & ~is_missing(raw) & ~is_number(raw))).alias("n_pattern"),
+        counts(total((value < LOWEST) | (value > HIGHEST))).alias("n_range"),
     )

@@ -94,6 +94,16 @@ def p5_profile(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p5_profile_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Nulls, markers and distinct values of every column; range and faults of
+    the count columns."""
+    parts = []
+    for name in WIDE:
+        rows = table(spark, sf, name)
+        parts.append(profile.profile(rows, rows.columns, profile.count_columns(rows)).withColumn("table_name", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
 def p5_shifts(spark: SparkSession, sf: str) -> DataFrame:
     """Every count column of every load against the load before."""
     loads = table(spark, sf, "source_loads")
@@ -104,7 +114,7 @@ def p5_shifts(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_claims, p2_found, p2_report, p2_table, p3_found, p3_faults, p3_rows, p5_found, p5_profile, p5_shifts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_claims, p2_found, p2_report, p2_table, p3_found, p3_faults, p3_rows, p5_found, p5_profile, p5_profile_all, p5_shifts)}
 _CENSUS = "COLUMNS('^(total|males|females)_')"
 _YEARS = "y2025, y2024, y2023, y2022, y2021, y2020, y2019"
 _NUMBER = r"'[+-]?([0-9]+|[0-9]+\.[0-9]*|[0-9]*\.[0-9]+)'"
@@ -142,4 +152,10 @@ ORACLES: dict[str, str] = {
         WHERE abs(d.m * b.n - b.m * d.n) * 100 > 15 * d.n * b.n OR d.med > 2 * b.med OR b.med > 2 * d.med""",
     "p5_profile": f"""WITH {_CELLS} SELECT table_name, column_name, count(*) AS n_rows, count(*) FILTER (WHERE raw IS NULL) AS n_null, count(*) FILTER (WHERE raw IS NOT NULL AND is_missing) AS n_marker, count(DISTINCT raw) AS n_distinct,
       min(value) AS min_value, max(value) AS max_value, count(*) FILTER (WHERE NOT is_missing AND value IS NULL) AS n_pattern, count(*) FILTER (WHERE value < 0 OR value > 10000000) AS n_range FROM typed GROUP BY ALL""",
+    "p5_profile_all": f"""WITH cells AS (
+        SELECT 'census_rows' AS table_name, column_name, raw, regexp_matches(column_name, '^(total|males|females)_') AS is_count FROM (SELECT COLUMNS('(.*)')::VARCHAR AS '\\1' FROM census_rows) UNPIVOT INCLUDE NULLS (raw FOR column_name IN (*))
+        UNION ALL SELECT 'region_rows', column_name, raw, regexp_matches(column_name, '^y[0-9]{{4}}$') FROM (SELECT COLUMNS('(.*)')::VARCHAR AS '\\1' FROM region_rows) UNPIVOT INCLUDE NULLS (raw FOR column_name IN (*))),
+      typed AS (SELECT *, {_MISSING} AS is_missing, CASE WHEN is_count AND {_IS_NUMBER} THEN TRY_CAST(trim(raw, ' ') AS DOUBLE) END AS value FROM cells)
+      SELECT table_name, column_name, count(*) AS n_rows, count(*) FILTER (WHERE raw IS NULL) AS n_null, count(*) FILTER (WHERE raw IS NOT NULL AND is_missing) AS n_marker, count(DISTINCT raw) AS n_distinct, min(value) AS min_value, max(value) AS max_value,
+      CASE WHEN is_count THEN count(*) FILTER (WHERE NOT is_missing AND value IS NULL) END AS n_pattern, CASE WHEN is_count THEN count(*) FILTER (WHERE value < 0 OR value > 10000000) END AS n_range FROM typed GROUP BY table_name, column_name, is_count""",
 }

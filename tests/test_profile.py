@@ -3,6 +3,8 @@ import statistics
 from pyspark.sql import functions as F
 
 from tallyspan.operators import profile
+from tallyspan.plans import QUERIES
+from tallyspan.session import table
 
 WIDE = "row_id long, load_id long, y2020 string, y2021 string, raw string, column_name string, n long, yield string"
 
@@ -44,3 +46,12 @@ def test_power_sums_merge(spark):
     for name in ("n_rows", "n_numbers", "s1", "s2", "s3", "s4"):
         assert whole[name] == sum(p[name] for p in parts)
     assert whole.s1 == sum(range(50)) and abs(float(whole.s2) * 1e6 - sum(k * k for k in range(50))) < 1e-6
+
+
+def test_every_column_is_profiled(spark, small):
+    got = {(r.table_name, r.column_name): r for r in QUERIES["p5_profile_all"](spark, small).collect()}
+    tables = {name: table(spark, small, name) for name in ("census_rows", "region_rows")}
+    assert set(got) == {(name, c) for name, df in tables.items() for c in df.columns}
+    labels = [r.planning_area for r in tables["census_rows"].select("planning_area").collect()]
+    area = got["census_rows", "planning_area"]
+    assert (area.n_rows, area.n_null, area.n_distinct, area.n_pattern) == (len(labels), labels.count(None), len(set(labels) - {None}), None)

@@ -3,9 +3,10 @@
 ``ingest`` enforces a target schema on flattened records: a member that the
 target knows and that can be cast goes into its typed column; every other
 member stays as JSON in ``_rescued``, so no value is lost.  ``cells`` replays
-typed and rescued values by field id; ``changes`` compares each file with its
-predecessor on them; ``promote`` moves rescued values into typed columns, for
-renamed fields by the change report and for approved new fields by name.
+typed and rescued values by field id; ``history`` compares each file with its
+predecessor on them, and ``changes`` is what it reports; ``promote`` moves
+rescued values into typed columns, for renamed fields by the history and for
+approved new fields by name.
 
 Defined cases: a file without a field list is described by the keys of its
 records; null ids are no fields; of a repeated field id in one list the first
@@ -15,21 +16,19 @@ is not in the table gives no report; empty tables give empty results.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyspan.functions.loose_json import objects
 from tallyspan.functions.numbers import canonical
 from tallyspan.operators.nested import flatten_records, payload_results
-from tallyspan.session import materialise
+from tallyspan.session import look_up, materialise
 from tallyspan.sources.registry import census_ids, sources
 
 COUNT = "decimal(24,6)"
-_CASTABLE = r"^[+-]?(?=\.?[0-9])0*[0-9]{0,18}(\.[0-9]{0,6}0*)?$"
-
-
-_YEAR = r"^[0-9]{4}$"
+_CASTABLE = r"^[+-]?(?=\.?[0-9])0*[0-9]{0,18}(\.[0-9]{0,6}0*)?\z"
+_YEAR = r"^[0-9]{4}\z"
 
 #: Field id to (column name, type) of the consistent table: the label fields,
 #: and the years and counts that the registry declares.
@@ -53,11 +52,11 @@ def ingest(records: DataFrame, target: Mapping[str, tuple[str, str]] = TARGET) -
     """Typed target columns and ``_rescued`` (JSON) in place of ``members``.
 
     Unknown members, members that cannot be cast exactly and members without a
-    value are rescued as written.
+    value are rescued as written, and so is an ``_id`` that is no record_id.
     """
     texts = [i for i, (_, kind) in target.items() if kind == "string"]
     counts = [i for i, (_, kind) in target.items() if kind != "string"]
-    kept = lambda k, v: v.isNotNull() & ((k == "_id") | k.isin(texts) | (k.isin(counts) & F.coalesce(_castable(COUNT, v), F.lit(False))))
+    kept = lambda k, v: v.isNotNull() & (((k == "_id") & F.col("record_id").isNotNull()) | k.isin(texts) | (k.isin(counts) & F.coalesce(_castable(COUNT, v), F.lit(False))))
     rescued = F.map_filter("members", lambda k, v: ~kept(k, v))
     columns = [_typed(kind, F.col("members")[i]).alias(name) for i, (name, kind) in target.items()]
     others = [c for c in records.columns if c != "members"]
@@ -87,7 +86,7 @@ def cells(ingested: DataFrame, target: Mapping[str, tuple[str, str]] = TARGET) -
 
 def ingest_payloads(payloads: DataFrame) -> DataFrame:
     """All records of the payloads through :func:`ingest`, with file and source."""
-    return ingest(flatten_records(payloads)).join(payloads.select("file_id", "source_id", "resource_id"), "file_id")
+    return ingest(flatten_records(payloads, carry=("source_id", "resource_id")))
 
 
 def file_fields(payloads: DataFrame) -> DataFrame:
@@ -107,10 +106,11 @@ def field_inventory(files: DataFrame, ingested: DataFrame) -> DataFrame:
     return first.unionByName(keyed.withColumn("field_type", F.lit(None).cast("string")))
 
 
-def changes(payloads: DataFrame, ingested: DataFrame) -> DataFrame:
-    """Every change of a file against the file in prev_file_id.
+def history(payloads: DataFrame, ingested: DataFrame) -> DataFrame:
+    """Every field of a file against the file in prev_file_id.
 
-    Result: file_id, field_id, change_kind (added, removed, renamed, retyped),
+    Result: file_id, prev_file_id, field_id, change_kind (added, removed,
+    renamed, retyped; kept for a field that stands in both files under one id),
     old_id, old_type, new_type.  A gone and a new id are a rename if they agree
     in at least nine tenths of the ``_id``s of both files in which both hold a
     value, numbers by value, else trimmed text.
@@ -146,7 +146,7 @@ def changes(payloads: DataFrame, ingested: DataFrame) -> DataFrame:
     renames = agreed.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select("file_id", "old_id", F.col("new_id").alias("field_id"))
 
     differs = F.coalesce(F.lower(F.trim("old_type")), F.lit("")) != F.coalesce(F.lower(F.trim("new_type")), F.lit(""))
-    result = ["file_id", "field_id", "change_kind", "old_id", "old_type", "new_type"]
+    result = ["file_id", "prev_file_id", "field_id", "change_kind", "old_id", "old_type", "new_type"]
     renamed = new.drop("old_type").join(renames, ["file_id", "field_id"]).join(gone.select("file_id", F.col("field_id").alias("old_id"), "old_type"), ["file_id", "old_id"])
     kept = compared.where("was and is_now").withColumn("old_id", F.col("field_id"))
     none = F.lit(None).cast("string")
@@ -155,6 +155,7 @@ def changes(payloads: DataFrame, ingested: DataFrame) -> DataFrame:
         gone.join(agreed.select("file_id", F.col("old_id").alias("field_id")), ["file_id", "field_id"], "left_anti").withColumns({"change_kind": F.lit("removed"), "old_id": F.col("field_id")}),
         renamed.withColumn("change_kind", F.lit("renamed")),
         renamed.unionByName(kept, allowMissingColumns=True).where(F.col("both_listed") & differs).withColumn("change_kind", F.lit("retyped")),
+        kept.withColumn("change_kind", F.lit("kept")),
     ]
     report = parts[0].select(result)
     for part in parts[1:]:
@@ -162,49 +163,73 @@ def changes(payloads: DataFrame, ingested: DataFrame) -> DataFrame:
     return report
 
 
+def changes(payloads: DataFrame, ingested: DataFrame) -> DataFrame:
+    """What :func:`history` has to report: every row but the kept fields."""
+    return history(payloads, ingested).where("change_kind <> 'kept'").drop("prev_file_id")
+
+
+def aliases_of(past: DataFrame, known: Sequence[str]) -> DataFrame:
+    """(file_id, alias_id, target_id): fields of a file that stand for a known one.
+
+    A field stands for the one that it was renamed from, or kept as, in the
+    file before, and so on back to a known field; an id that a later file takes
+    up anew starts afresh and stands for itself.  Steps back are doubled in each
+    round, so there are as many rounds as the longest way has binary digits;
+    what is open after more rounds than that (files that name each other as
+    predecessors) stands for itself.
+    """
+    step = past.where(F.col("change_kind").isin("renamed", "kept") & ~F.col("field_id").isin(list(known)))
+    step = materialise(step.select("file_id", F.col("field_id").alias("alias_id"), F.col("prev_file_id").alias("at_file"), F.col("old_id").alias("at_id")))
+    found = step.where(F.col("at_id").isin(list(known)))
+    for _ in range(step.count().bit_length() + 1):
+        open_ends = step.where(~F.col("at_id").isin(list(known)))
+        if not open_ends.limit(1).count():
+            break
+        onward = step.select(F.col("file_id").alias("at_file"), F.col("alias_id").alias("at_id"), F.col("at_file").alias("to_file"), F.col("at_id").alias("to_id"))
+        # A way that ends at no known field is dropped.
+        step = open_ends.join(onward, ["at_file", "at_id"]).select("file_id", "alias_id", F.col("to_file").alias("at_file"), F.col("to_id").alias("at_id"))
+        step = materialise(found.unionByName(step))
+        found = step.where(F.col("at_id").isin(list(known)))
+    return found.select("file_id", "alias_id", F.col("at_id").alias("target_id"))
+
+
 def promote(
     ingested: DataFrame,
-    report: DataFrame,
+    past: DataFrame,
     approved: Mapping[str, tuple[str, str]] | None = None,
     target: Mapping[str, tuple[str, str]] = TARGET,
 ) -> DataFrame:
     """Replays rescued values into typed columns.
 
-    A field that the report calls a rename of a target field (over any number
-    of renames within its resource) fills that field's column where it is empty.
-    A chain that comes to another target field ends there.  ``approved`` (field
-    id to column and type) adds columns for further fields, whose renames count
-    likewise.
-    Values that cannot be cast, and all other fields, stay in ``_rescued``.
+    A field that by ``past`` (of :func:`history`) stands for a target field
+    fills that field's column where it is empty; see :func:`aliases_of`.
+    ``approved`` (field id to column and type) adds columns for further fields,
+    whose renames count likewise.  Of several values for one column the field's
+    own comes first, then the one of the alias that sorts first; all others,
+    values that cannot be cast and all other fields stay in ``_rescued``.
     """
     approved = approved or {}
-    known = list({**target, **approved})
-    resource = ingested.select("file_id", "resource_id").distinct()
-    step = report.where("change_kind = 'renamed'").join(resource, "file_id").select("resource_id", F.col("old_id").alias("target_id"), F.col("field_id").alias("alias_id")).distinct()
-    # Each round follows the aliases of the round before by one rename, and ends
-    # at files; there are as many rounds as the longest chain has renames.
-    step = materialise(step)
-    found = last = materialise(step.where(F.col("target_id").isin(known)))
-    while last.limit(1).count():
-        open_ends = last.where(~F.col("alias_id").isin(known)).withColumnRenamed("alias_id", "via")
-        further = step.withColumnRenamed("target_id", "via").join(open_ends, ["resource_id", "via"]).select("resource_id", "target_id", "alias_id")
-        last = materialise(further.distinct().join(found, ["resource_id", "target_id", "alias_id"], "left_anti"))
-        found = found.unionByName(last)
-    aliases = found.groupBy("resource_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("alias_id", "target_id")))).alias("_aliases"))
-
-    rows = ingested.join(aliases, "resource_id", "left")
+    kinds = {**target, **approved}
+    found = aliases_of(past, list(kinds))
+    aliases = materialise(found.groupBy("file_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("alias_id", "target_id")))).alias("_aliases")))
+
     empty = F.create_map().cast("map<string,string>")
+    rows = look_up(ingested, aliases, ["file_id"])
     rows = rows.withColumn("_left", F.coalesce(F.from_json("_rescued", "map<string,string>"), empty)).withColumn("_aliases", F.coalesce("_aliases", empty))
-    moved = F.map_filter("_left", lambda k, v: F.col("_aliases")[k].isNotNull() & v.isNotNull())
-    rows = rows.withColumn("_moved", F.map_from_entries(F.transform(F.map_entries(moved), lambda e: F.struct(F.col("_aliases")[e["key"]], e["value"]))))
-    columns = {name: F.coalesce(F.col(name), _typed(kind, F.col("_moved")[i])) for i, (name, kind) in target.items()}
-    columns |= {name: F.coalesce(_typed(kind, F.col("_left")[i]), _typed(kind, F.col("_moved")[i])) for i, (name, kind) in approved.items()}
-    counts = [i for i, (_, kind) in {**target, **approved}.items() if kind != "string"]
-
-    def replayed(k: Column, v: Column) -> Column:
-        to = F.coalesce(F.when(k.isin(list(approved)), k) if approved else F.lit(None), F.col("_aliases")[k])
-        return F.coalesce(to.isNotNull() & v.isNotNull() & (~to.isin(counts) | _castable(COUNT, v)), F.lit(False))
-
-    rest = F.map_filter("_left", lambda k, v: ~replayed(k, v))
-    rows = rows.withColumns(columns | {"_rescued": F.when(F.size(rest) > 0, F.to_json(rest))})
-    return rows.drop("_left", "_moved", "_aliases")
+    counts = [i for i, (_, kind) in kinds.items() if kind != "string"]
+    fits = lambda to, v: v.isNotNull() & (~to.isin(counts) | F.coalesce(_castable(COUNT, v), F.lit(False)))
+    own = F.map_filter("_left", lambda k, v: k.isin(list(approved)) & fits(k, v)) if approved else empty
+    # What already has a value takes no other one.
+    taken = F.concat(F.array_compact(F.array(*(F.when(F.col(name).isNotNull(), F.lit(i)) for i, (name, _) in target.items()))), F.map_keys("_own"))
+    entry = lambda e: F.struct(F.col("_aliases")[e["key"]].alias("to"), e["key"].alias("alias"), e["value"].alias("value"))
+    offers = F.filter(F.transform(F.map_entries("_left"), entry), lambda e: F.coalesce(e["to"].isNotNull() & fits(e["to"], e["value"]) & ~F.array_contains("_taken", e["to"]), F.lit(False)))
+    # Sorted by column and alias: the first offer of each column wins.
+    won = F.filter("_offers", lambda e, i: (i == 0) | (F.get(F.col("_offers"), i - 1)["to"] != e["to"]))
+    rows = rows.withColumn("_own", own).withColumn("_taken", taken).withColumn("_offers", F.array_sort(offers)).withColumn("_won", won)
+    rows = rows.withColumn("_new", F.map_concat("_own", F.map_from_entries(F.transform("_won", lambda e: F.struct(e["to"], e["value"])))))
+    columns = {name: F.coalesce(F.col(name), _typed(kind, F.col("_new")[i])) for i, (name, kind) in target.items()}
+    columns |= {name: _typed(kind, F.col("_new")[i]) for i, (name, kind) in approved.items()}
+    moved = F.concat(F.map_keys("_own"), F.transform("_won", lambda e: e["alias"]))
+    rest = F.map_filter("_left", lambda k, _: ~F.array_contains("_moved", k))
+    rows = rows.withColumn("_moved", moved).withColumns(columns | {"_rescued": F.when(F.size(rest) > 0, F.to_json(rest))})
+    return rows.drop("_left", "_aliases", "_own", "_taken", "_offers", "_won", "_new", "_moved")

@@ -4,19 +4,19 @@ The JVM parses each body into Arrow list/struct columns (see
 ``functions.loose_json``); inside the tasks the child tables come from the list
 offsets alone: ``list_parent_indices`` gives every child its parent's position,
 ``take`` carries the keys down, and no row is visited by Python code.  Trees may
-be of any depth: levels below the parsed ones travel as text and are parsed
-where they turn up.
+be of any depth: levels below the LEVELS that the JVM parses travel as text and
+are parsed in the task, one text at a time.
 
 Defined cases: null, empty or malformed bodies give no rows; elements of a
 record or claim list that are no objects are left out and not counted; nested
 lists written as JSON strings count as lists; repeated rows give repeated
-results; further input columns are ignored unless named in ``keys``.
+results; further input columns are ignored unless named in ``carry``.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyspan.functions.loose_json import elements, objects, texts
+from tallyspan.session import look_up, materialise
 
 LEVELS = 3
 
@@ -125,7 +126,7 @@ def _loose_list(value: object) -> list:
 
 
 def _text(value: object) -> str | None:
-    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
 def _claims_below(rest: pa.Array) -> pa.ListArray:
@@ -209,32 +210,36 @@ def flatten_evidence(examples: DataFrame, key: str = "example_id", body: str = "
 # --- payloads and their records ----------------------------------------------
 
 
-def _holds_records(value: Column) -> Column:
+def _held(value: Column) -> Column:
+    """The records that a member holds, as JSON texts; null if it holds none."""
     body = F.ltrim(value)
-    as_list = body.startswith("[") & F.from_json(body, "array<string>").isNotNull()
-    as_record = body.startswith("{") & F.get_json_object(body, "$._id").isNotNull()
-    return F.coalesce(as_list | as_record, F.lit(False))
+    one = body.startswith("{") & F.get_json_object(body, "$._id").isNotNull()
+    return F.when(body.startswith("["), F.from_json(body, "array<string>")).when(one, F.array(body))
 
 
-def _records(items: Column, page: Column, depth: int) -> Column:
-    """Record nodes of an array of JSON texts."""
+def _records(items: Column, page: Column, depth: int, only: Sequence[str] | None) -> Column:
+    """Record nodes of an array of JSON texts; ``only`` names the members kept."""
 
-    def node(members: Column) -> Column:
-        inner = F.flatten(F.transform(F.map_values(F.map_filter(members, lambda _, v: _holds_records(v))), lambda v: elements(v)))
+    def node(entries: Column) -> Column:
+        inner = F.flatten(F.transform(F.filter(entries, lambda e: e["held"].isNotNull()), lambda e: e["held"]))
         text = F.when(F.size(inner) > 0, F.concat(F.lit("["), F.concat_ws(",", inner), F.lit("]")))
+        own = F.filter(entries, lambda e: e["held"].isNull() & (F.lit(True) if only is None else e["key"].isin(list(only))))
         return F.struct(
             page.alias("page_no"),
-            F.map_filter(members, lambda _, v: ~_holds_records(v)).alias("members"),
-            (_records(inner, page, depth - 1) if depth > 1 else text).alias("records"),
+            F.transform(own, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))).alias("members"),
+            (_records(inner, page, depth - 1, only) if depth > 1 else text).alias("records"),
         )
 
     found = F.filter(items, lambda x: F.ltrim(x).startswith("{"))
     parsed = F.filter(F.transform(found, lambda x: F.from_json(x, "map<string,string>")), lambda m: m.isNotNull())
-    return F.transform(parsed, node)
+    # Each value is looked into once; what it holds goes along.
+    entries = F.transform(parsed, lambda m: F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), _held(e["value"]).alias("held"))))
+    return F.transform(entries, node)
 
 
 def _record_type(below: pa.DataType) -> pa.DataType:
-    return pa.struct([("page_no", pa.int32()), ("members", pa.map_(pa.string(), pa.string())), ("records", below)])
+    member = pa.struct([("key", pa.string()), ("value", pa.string())])
+    return pa.struct([("page_no", pa.int32()), ("members", pa.list_(member)), ("records", below)])
 
 
 def _records_below(rest: pa.Array) -> pa.ListArray:
@@ -254,7 +259,7 @@ def _records_below(rest: pa.Array) -> pa.ListArray:
         kids = [y for v in x.values() if inner(v) for y in (v if isinstance(v, list) else [v]) if isinstance(y, dict)]
         return {
             "page_no": None,
-            "members": [(k, _text(v)) for k, v in x.items() if not inner(v)],
+            "members": [{"key": k, "value": _text(v)} for k, v in x.items() if not inner(v)],
             "records": [node(y, depth - 1) for y in kids] if depth > 1 else _text(kids) if kids else None,
         }
 
@@ -272,38 +277,47 @@ def payload_results(payloads: DataFrame, body: str = "body") -> DataFrame:
     return payloads.withColumn("results", result)
 
 
-def flatten_records(payloads: DataFrame, key: str = "file_id", body: str = "body") -> DataFrame:
+def _as_map(lists: pa.ListArray) -> pa.MapArray:
+    return pa.MapArray.from_arrays(lists.offsets, pc.struct_field(lists.values, "key"), pc.struct_field(lists.values, "value"))
+
+
+def flatten_records(payloads: DataFrame, key: str = "file_id", body: str = "body", carry: Sequence[str] = (), only: Sequence[str] | None = None) -> DataFrame:
     """One row per record of each payload, with the record it is held in.
 
     Records stand in ``result.records``, in ``result.pages[].records`` or inside
     other records.  Result: ``key``, record_no (written order within the file,
     a record before those it holds), parent_record_no (null for a top record),
-    page_no (null without pages), record_id (from ``_id``, null where that is no
-    whole number), members (map of the record's own members as text; members
-    that hold records are left out).
+    page_no (null without pages), the columns of ``carry`` (as text), members
+    (map of the record's own members as text; members that hold records are left
+    out, and others than those of ``only`` where that is given), record_id (from
+    ``_id``, null where that is no whole number).
     """
-    pages = lambda r: F.transform(objects(r["pages"], "records string"), lambda p, i: _records(elements(p["records"]), i.cast("int"), LEVELS))
-    direct = lambda r: F.array(_records(elements(r["records"]), F.lit(None).cast("int"), LEVELS))
+    carry = list(carry)
+    pages = lambda r: F.transform(objects(r["pages"], "records string"), lambda p, i: _records(elements(p["records"]), i.cast("int"), LEVELS, only))
+    direct = lambda r: F.array(_records(elements(r["records"]), F.lit(None).cast("int"), LEVELS, only))
     trees = F.flatten(F.flatten(F.transform(F.col("results"), lambda r: F.concat(direct(r), pages(r)))))
-    parsed = payload_results(payloads.select(F.col(key).cast("long").alias("key"), F.col(body).alias("body"))).select("key", trees.alias("records"))
+    source = payloads.select(F.col(key).cast("long").alias("key"), *(F.col(c).cast("string").alias(f"carry_{n}") for n, c in enumerate(carry)), F.col(body).alias("body"))
+    parsed = payload_results(source).select("key", *(f"carry_{n}" for n in range(len(carry))), trees.alias("records"))
+    names = ["key", "record_no", "parent_record_no", "page_no", *(f"carry_{n}" for n in range(len(carry))), "members"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, above, page = _column(batch, "key"), None, None
+            above, page = None, None
             for level in tree_levels(_column(batch, "records"), "records", _records_below):
                 nodes, row = level["nodes"], pa.array(level["row"])
                 parent = pa.nulls(len(row), pa.int32()) if above is None else pa.array(above[level["parent"]].astype(np.int32))
                 page = pc.struct_field(nodes, "page_no") if page is None else page.take(pa.array(level["parent"]))
                 above = level["number"]
+                carried = [_column(batch, f"carry_{n}").take(row) for n in range(len(carry))]
                 yield pa.record_batch(
-                    [keys.take(row), pa.array(above.astype(np.int32)), parent, page, pc.struct_field(nodes, "members")],
-                    names=["key", "record_no", "parent_record_no", "page_no", "members"],
+                    [_column(batch, "key").take(row), pa.array(above.astype(np.int32)), parent, page, *carried, _as_map(pc.struct_field(nodes, "members"))],
+                    names=names,
                 )
 
-    schema = "key long, record_no int, parent_record_no int, page_no int, members map<string,string>"
-    rows = parsed.mapInArrow(run, schema)
-    digits = F.regexp_extract(F.element_at("members", "_id"), r"^\s*\+?([0-9]+)(?:\.0*)?\s*$", 1)
-    return rows.withColumn("record_id", digits.try_cast("long")).withColumnRenamed("key", key)
+    carried = "".join(f"carry_{n} string, " for n in range(len(carry)))
+    rows = parsed.mapInArrow(run, f"key long, record_no int, parent_record_no int, page_no int, {carried}members map<string,string>")
+    digits = F.regexp_extract(F.element_at("members", "_id"), r"^\s*\+?([0-9]+)(?:\.0*)?\s*\z", 1)
+    return rows.withColumn("record_id", digits.try_cast("long")).withColumnsRenamed({"key": key, **{f"carry_{n}": c for n, c in enumerate(carry)}})
 
 
 def link_evidence(evidence: DataFrame, records: DataFrame) -> DataFrame:
@@ -313,8 +327,10 @@ def link_evidence(evidence: DataFrame, records: DataFrame) -> DataFrame:
     no record there, gets -1.  Case and surrounding blanks do not matter.
     """
     text = F.lower(F.col("evidence_id"))
-    form = r"(?s)^\s*([^:]*[^:\s])\s*:r([0-9]+)\s*(:.*)?$"
-    links = evidence.withColumns({"_source": F.regexp_extract(text, form, 1), "_n": F.regexp_extract(text, form, 2).try_cast("long")})
+    form = r"(?s)^\s*([^:]*[^:\s])\s*:r([0-9]+)\s*(:.*)?\z"
+    # Malformed ids get numbers that no record has, so that they do not meet in one task.
+    number = F.coalesce(F.regexp_extract(text, form, 2).try_cast("long"), -1 - F.abs(F.hash("evidence_id").cast("long")))
+    links = evidence.withColumns({"_source": F.regexp_extract(text, form, 1), "_n": number})
     known = records.select(F.lower(F.trim("source_id")).alias("_source"), F.col("record_id").alias("_n")).where("_n is not null").distinct().withColumn("_known", F.lit(True))
-    joined = links.join(known, ["_source", "_n"], "left")
+    joined = look_up(links, materialise(known), ["_source", "_n"])
     return joined.withColumn("record_id", F.when(F.col("_known"), F.col("_n")).otherwise(F.lit(-1).cast("long"))).drop("_source", "_n", "_known")

@@ -11,8 +11,7 @@ from tallyspan.session import materialise, table
 
 def p1_records(spark: SparkSession, sf: str) -> DataFrame:
     """All records of all payloads, each with its file and parent record."""
-    payloads = table(spark, sf, "source_payloads")
-    return nested.flatten_records(payloads).join(payloads.select("file_id", "source_id"), "file_id")
+    return nested.flatten_records(table(spark, sf, "source_payloads"), carry=["source_id"])
 
 
 def p1_claims(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,7 +22,8 @@ def p1_claims(spark: SparkSession, sf: str) -> DataFrame:
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """One row per evidence link, resolved to the record it names."""
     links = nested.flatten_evidence(table(spark, sf, "qa_examples"))
-    found = nested.link_evidence(links, p1_records(spark, sf))
+    records = nested.flatten_records(table(spark, sf, "source_payloads"), carry=["source_id"], only=["_id"])
+    found = nested.link_evidence(links, records)
     return found.select("example_id", "claim_no", "evidence_no", "record_id")
 
 
@@ -54,7 +54,7 @@ def p2_table(spark: SparkSession, sf: str) -> DataFrame:
     """
     payloads = table(spark, sf, "source_payloads")
     ingested = materialise(drift.ingest_payloads(payloads))
-    return drift.promote(ingested, drift.changes(payloads, ingested), APPROVED | drift.further_years(ingested))
+    return drift.promote(ingested, drift.history(payloads, ingested), APPROVED | drift.further_years(ingested))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -53,8 +53,7 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     ship(spark)
     rows = spark.read.parquet(f"{directory}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > SPREAD_BYTES and rows.rdd.getNumPartitions() < cores:
+    if stored_bytes(rows) > SPREAD_BYTES and rows.rdd.getNumPartitions() < cores:
         rows = rows.repartition(cores)
     return rows
 
@@ -62,12 +61,14 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is absent, as in local tests, a temporary folder is
-    taken and set for the session.
+    Where that setting is absent, a local session, as in tests, takes a
+    temporary folder and sets it; on a cluster that is an error.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     folder = folder or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -83,3 +84,28 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/tallyspan-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: A lookup table is sent to all tasks if it takes at most so many bytes.
+BROADCAST_BYTES = 8_000_000
+#: Else both sides are shuffled, each key spread over so many tasks.
+SALTS = 16
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """The planner's size of ``df``; for a table of files, their bytes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def look_up(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "left", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Joins rows to a table with one row a key, whatever the share of a key.
+
+    ``small`` should be materialised, so that its size is known.  Up to
+    ``limit`` bytes it is broadcast; a larger one is copied for each of SALTS
+    salts, so that the rows of a hot key meet in that many tasks.
+    """
+    if stored_bytes(small) <= limit:
+        return rows.join(F.broadcast(small), keys, how)
+    salts = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return salted.hint("merge").join(salts, [*keys, "_salt"], how).drop("_salt")

@@ -1,4 +1,5 @@
 import json
+import random
 
 from tallyspan.operators import drift
 from tallyspan.plans import QUERIES
@@ -84,7 +85,7 @@ def test_rescue_keeps_every_value_and_promotes(spark):
     ingested = drift.ingest_payloads(payloads)
     row = ingested.where("file_id = 2 and record_id = 3").first()
     assert row.y2021 is None and json.loads(row._rescued) == {"2021 revised": "103", "Note": "n", "2020": "n/k"}
-    done = drift.promote(ingested, drift.changes(payloads, ingested), {"Note": ("note", "string")}).where("file_id = 2 and record_id = 3").first()
+    done = drift.promote(ingested, drift.history(payloads, ingested), {"Note": ("note", "string")}).where("file_id = 2 and record_id = 3").first()
     assert (int(done.y2021), done.note, json.loads(done._rescued)) == (103, "n", {"2020": "n/k"})
 
 
@@ -93,7 +94,7 @@ def test_chains_of_renames(spark):
     bodies = [payload(None, [{"_id": i, n: f"s{i}"} for i in range(10)]) for n in names]
     payloads = spark.createDataFrame([(k, "s", "r", k - 1 if k else None, b, "", "") for k, b in enumerate(bodies)], PAYLOADS)
     ingested = drift.ingest_payloads(payloads)
-    done = drift.promote(ingested, drift.changes(payloads, ingested)).select("file_id", "record_id", "data_series", "_rescued").collect()
+    done = drift.promote(ingested, drift.history(payloads, ingested)).select("file_id", "record_id", "data_series", "_rescued").collect()
     assert sorted(tuple(r) for r in done) == [(k, i, f"s{i}", None) for k in range(len(names)) for i in range(10)]
 
 
@@ -104,5 +105,57 @@ def test_every_year_is_typed(spark):
     ingested = drift.ingest_payloads(payloads)
     further = drift.further_years(ingested)
     assert further == {"2027": ("y2027", drift.COUNT)} and drift.further_years(ingested.limit(0)) == {}
-    done = drift.promote(ingested, drift.changes(payloads, ingested), further).select("file_id", "record_id", "y1950", "y2009", "y2027", "_rescued").collect()
+    done = drift.promote(ingested, drift.history(payloads, ingested), further).select("file_id", "record_id", "y1950", "y2009", "y2027", "_rescued").collect()
     assert sorted(tuple(r) for r in done) == [(f, i, i, 100 + i, 200 + i, None) for f in range(2) for i in range(10)]
+
+
+def one_file(spark, records):
+    return drift.ingest_payloads(spark.createDataFrame([(1, "s", "r", None, payload(None, records), "", "")], PAYLOADS))
+
+
+def past(spark, *rows):
+    """(file, prev, id, kind, old id) as the history of a resource."""
+    schema = "file_id long, prev_file_id long, field_id string, change_kind string, old_id string"
+    return spark.createDataFrame(list(rows), schema)
+
+
+def test_conflicting_aliases_lose_nothing(spark):
+    records = [{"_id": "A12", "2025": "5", "Y2025": "77"}, {"_id": 2, "Yb": "1", "Y2025": "2"}, {"_id": 3, "Yb": "n/k", "Y2025": "3"}, {"_id": 4, "2025": "x", "Yb": "4"}]
+    renamed = past(spark, (1, 0, "Y2025", "renamed", "2025"), (1, 0, "Yb", "renamed", "2025"))
+    done = drift.promote(one_file(spark, records), renamed).orderBy("record_no").collect()
+    assert [None if r.y2025 is None else int(r.y2025) for r in done] == [5, 2, 3, 4]
+    assert [json.loads(r._rescued) if r._rescued else None for r in done] == [{"_id": "A12", "Y2025": "77"}, {"Yb": "1"}, {"Yb": "n/k"}, {"2025": "x"}]
+    assert [r.record_id for r in done] == [None, 2, 3, 4]
+
+
+def test_reused_id_is_no_alias(spark):
+    bodies = [{"2025": 1}, {"Y": 1}, {"Z": 1}, {"Z": 1, "Y": 900}, {"2025": 1, "Y": 901}]
+    rows = [(k, "s", "r", k - 1 if k else None, payload(None, [{"_id": i} | {n: v + i for n, v in b.items()} for i in range(10)]), "", "") for k, b in enumerate(bodies)]
+    payloads = spark.createDataFrame(rows, PAYLOADS)
+    ingested = drift.ingest_payloads(payloads)
+    done = drift.promote(ingested, drift.history(payloads, ingested)).where("record_id = 3").orderBy("file_id").collect()
+    assert [int(r.y2025) for r in done] == [4, 4, 4, 4, 4]
+    assert [json.loads(r._rescued) if r._rescued else None for r in done] == [None, None, None, {"Y": "903"}, {"Y": "904"}]
+
+
+def test_typed_and_rescued_are_the_members(spark):
+    rng = random.Random(11)
+    ids = ["2025", "2024", "DataSeries", "Ya", "Yb", "Yc", "Note", "_id"]
+    records = [{i: rng.choice(["1", "2.50", "+3", "n/k", "", "12345678901234567890", "7\n", None]) for i in rng.sample(ids, rng.randint(0, 8))} for _ in range(300)]
+    renamed = past(spark, (1, 0, "Ya", "renamed", "2025"), (1, 0, "Yb", "renamed", "2025"), (1, 0, "Yc", "renamed", "2024"), (1, 0, "Note", "added", None))
+    for row in drift.promote(one_file(spark, records), renamed, {"Note": ("note", "string")}).collect():
+        before = records[row.record_no]
+        rest = json.loads(row._rescued) if row._rescued else {}
+        assert all(before.get(k, 0) == v for k, v in rest.items())
+        taken = {k: v for k, v in before.items() if k not in rest}
+        typed = {"2025": row.y2025, "2024": row.y2024, "DataSeries": row.data_series, "Note": row.note, "_id": row.record_id}
+        to = {"Ya": "2025", "Yb": "2025", "Yc": "2024"}
+        assert {to.get(k, k) for k in taken} == {k for k, v in typed.items() if v is not None} and len(taken) == len({to.get(k, k) for k in taken})
+        for k, v in taken.items():
+            have = typed[to.get(k, k)]
+            assert have == v if isinstance(have, str) else float(have) == float(v)
+
+
+def test_files_that_name_each_other(spark):
+    circle = past(spark, (1, 2, "a", "kept", "a"), (2, 1, "a", "kept", "a"), (2, 1, "b", "renamed", "2025"))
+    assert [tuple(r) for r in drift.aliases_of(circle, ["2025"]).collect()] == [(2, "b", "2025")]

@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 # The markers that stand for a missing value, in lower case.
 MISSING_MARKERS = ("", "-", "na", "n.a.", "null")
 # Fixed value: the written form of a number (ASCII digits only).
-NUMBER = r"^[+-]?([0-9]+|[0-9]+\.[0-9]*|[0-9]*\.[0-9]+)$"
+NUMBER = r"^[+-]?([0-9]+|[0-9]+\.[0-9]*|[0-9]*\.[0-9]+)\z"
 
 
 def trimmed(raw: Column) -> Column:

@@ -2,9 +2,10 @@
 
 Cell faults come from one unpivoted scan.  Numeric shifts are described by
 exact power sums per load and column, which merge by addition, and by
-differences standardised over a load and its predecessor; medians are exact,
-taken from a mergeable histogram of values, so that no load's values ever meet
-in one task.
+differences standardised over a load and its predecessor; medians, which no
+power sums give, are exact, taken from a mergeable histogram of values.  Both
+come from one count of the values, so that no load's values ever meet in one
+task.
 
 Defined cases: null and missing-value markers are missing, not faults; numbers
 outside the range are counted and do not enter a median; a load without
@@ -14,16 +15,22 @@ predecessor is null or absent has no shift; empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from decimal import Decimal
+from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyspan.functions.numbers import is_missing, is_number, number
+from tallyspan.session import materialise
 
 LOWEST, HIGHEST = 0, 10_000_000
 MISSING_SHIFT = 0.15
 MEDIAN_RATIO = 2
+MEAN_SHIFT = 0.5
 _BIN = 4096
 _COUNT_COLUMN = re.compile(r"(total|males|females)_(total|\d+_\d+|\d+andover)|y(19|20)\d\d")
 
@@ -52,53 +59,111 @@ def faulty_cells(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """
     # A whole number of up to seven digits and a dash break no rule; they are
     # most cells, and one look tells.
-    cells = long_cells(df, [key], columns).where(F.col("raw").isNotNull() & (F.col("raw") != "-") & ~F.col("raw").rlike("^[0-9]{1,7}$"))
+    cells = long_cells(df, [key], columns).where(F.col("raw").isNotNull() & (F.col("raw") != "-") & ~F.col("raw").rlike(r"^[0-9]{1,7}\z"))
     value = number(F.col("raw"))
     kind = F.when(is_number(F.col("raw")), F.when((value < LOWEST) | (value > HIGHEST), "range")).when(~is_missing(F.col("raw")), "pattern")
     return cells.select(kind.alias("check_kind"), F.col(key).cast("long").alias("key_id"), "column_name").where("check_kind is not null")
 
 
-def power_sums(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
-    """Per load and column: n_rows, n_missing, n_numbers, s1 ... s4.
+def value_counts(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
+    """(load, column_name, raw, n): how often each value stands in each column of
+    each load.  Sums and medians both come from these counts, which merge."""
+    return long_cells(df, [load], columns).groupBy(load, "column_name", "raw").agg(F.count("*").alias("n"))
+
+
+#: Names of the sums that are kept, all of which merge by addition.
+SUMS = ("n_rows", "n_missing", "n_numbers", "n_rounded", "s1", "s2", *(f"s{p}_{k}" for p in (3, 4) for k in range(p + 1)))
+
+
+def summed(counts: DataFrame, load: str) -> DataFrame:
+    """Per load and column the counts and exact sums named in SUMS.
 
-    The sums of powers are decimals over values with six decimals at most
-    (others are rounded to that), so that partial sums merge exactly.  Numbers
-    out of range are left out.
+    ``counts`` is of :func:`value_counts`.  Sums are of whole millionths: s1 of
+    the numbers, s2 of their squares.  Third and fourth powers outgrow a
+    decimal, so a number is split into its whole part a and its millionths b,
+    and s3_k and s4_k are the sums of the terms of (a + b)^p with a^k.  Values
+    with more than six decimals are rounded to six and counted in n_rounded;
+    numbers out of range are left out.
     """
-    value = number(F.col("raw"))
-    inside = F.when((value >= LOWEST) & (value <= HIGHEST), F.col("raw"))
-    x = F.trim(inside).try_cast("decimal(14,6)")
-    # Powers of thousands keep the sums within 38 digits.
-    k = (x / 1000).cast("decimal(14,6)")
-    square = (k * k).cast("decimal(22,8)")
-    return long_cells(df, [load], columns).groupBy(load, "column_name").agg(
-        F.count("*").alias("n_rows"),
-        F.count_if(is_missing(F.col("raw"))).alias("n_missing"),
-        F.count(x).alias("n_numbers"),
-        F.sum(x).alias("s1"),
-        F.sum(square).alias("s2"),
-        F.sum((square * k).cast("decimal(28,8)")).alias("s3"),
-        F.sum((square * square).cast("decimal(28,8)")).alias("s4"),
+    raw = F.col("raw")
+    value = number(raw)
+    inside = F.when((value >= LOWEST) & (value <= HIGHEST), F.trim(raw))
+    x = inside.try_cast("decimal(14,6)")
+    rows = counts.select(load, "column_name", "n", is_missing(raw).alias("_missing"), x.alias("x"), inside.rlike(r"\.[0-9]{6}[0-9]*[1-9]").alias("_rounded"))
+    rows = rows.withColumn("a", F.floor("x").cast("decimal(8,0)")).withColumn("v", (F.col("x") * 1_000_000).cast("decimal(14,0)"))
+    rows = rows.withColumn("b", (F.col("v") - F.col("a") * 1_000_000).cast("decimal(6,0)")).withColumn("_n", F.col("n").cast("decimal(11,0)"))
+
+    def total(factors: list[str], digits: int, times: int = 1) -> Column:
+        made = F.lit(times).cast("decimal(1,0)")
+        for factor in factors:
+            made = made * F.col(factor)
+        return F.sum((made.cast(f"decimal({digits},0)") * F.col("_n")).cast("decimal(38,0)")).cast("decimal(38,0)")
+
+    return rows.groupBy(load, "column_name").agg(
+        F.sum("n").alias("n_rows"),
+        F.sum(F.when(F.col("_missing"), F.col("n")).otherwise(0)).alias("n_missing"),
+        F.sum(F.when(F.col("x").isNotNull(), F.col("n")).otherwise(0)).alias("n_numbers"),
+        F.sum(F.when(F.col("_rounded"), F.col("n")).otherwise(0)).alias("n_rounded"),
+        total(["v"], 14).alias("s1"),
+        total(["v", "v"], 28).alias("s2"),
+        *(total(["a"] * k + ["b"] * (p - k), 7 * k + 6 * (p - k) + 2, math.comb(p, k)).alias(f"s{p}_{k}") for p in (3, 4) for k in range(p + 1)),
     )
 
 
+def power_sums(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
+    """The sums of :func:`summed` of a wide table."""
+    return summed(value_counts(df, load, columns), load)
+
+
+def exact_sum(sums: Mapping[str, int | Decimal | None], p: int) -> int:
+    """The sum of p-th powers in units of 10^(-6p), from the sums of one row."""
+    if p < 3:
+        return int(sums[f"s{p}"])
+    return sum(int(sums[f"s{p}_{k}"]) * 10 ** (6 * k) for k in range(p + 1))
+
+
+def _moments_of(sums: Mapping[str, int | Decimal | None]) -> tuple[float | None, ...]:
+    n = sums["n_numbers"]
+    if not n:
+        return None, None, None, None
+    s1, s2, s3, s4 = (exact_sum(sums, p) for p in (1, 2, 3, 4))
+    # Central moments times n^p, in whole numbers, so that nothing cancels.
+    m2 = n * s2 - s1**2
+    m3 = n**2 * s3 - 3 * n * s1 * s2 + 2 * s1**3
+    m4 = n**3 * s4 - 4 * n**2 * s1 * s3 + 6 * n * s1**2 * s2 - 3 * s1**4
+    mean, deviation = float(Fraction(s1, n * 10**6)), math.sqrt(Fraction(m2, n**2 * 10**12))
+    if m2 == 0:
+        return mean, deviation, None, None
+    return mean, deviation, float(Fraction(m3 * 10**9, m2 * math.isqrt(m2 * 10**18))), float(Fraction(m4, m2**2)) - 3
+
+
 def moments(sums: DataFrame) -> DataFrame:
-    """Adds mean and standard deviation (population) to :func:`power_sums`."""
-    n = F.nullif("n_numbers", F.lit(0)).cast("double")
-    mean = F.col("s1").cast("double") / n
-    variance = F.col("s2").cast("double") * 1e6 / n - mean * mean
-    return sums.withColumns({"mean": mean, "deviation": F.sqrt(F.greatest(variance, F.lit(0.0)))})
+    """Adds mean, deviation, skewness and excess kurtosis (of the population) to
+    :func:`power_sums`; null without numbers, the last two for equal numbers.
 
+    They come from the exact sums by whole-number arithmetic, one row for each
+    load and column.
+    """
 
-def exact_medians(values: DataFrame, keys: Sequence[str], value: str, width: float) -> DataFrame:
+    @F.pandas_udf("mean double, deviation double, skewness double, kurtosis double")
+    def shaped(rows: pd.DataFrame) -> pd.DataFrame:
+        made = [_moments_of(row) for row in rows.to_dict("records")]
+        return pd.DataFrame(made, columns=["mean", "deviation", "skewness", "kurtosis"], dtype="float64")
+
+    return sums.withColumn("_m", shaped(F.struct(*SUMS))).select(*sums.columns, "_m.*")
+
+
+def exact_medians(values: DataFrame, keys: Sequence[str], value: str, width: float, weight: str | None = None) -> DataFrame:
     """(keys, median): exact median of the non-null values of each group.
 
+    ``weight`` names a column of how often each value counts (once by default).
+
     Counts of equal values are binned; a running count over the bins (their
     number is the range of the values over ``width``) finds the bins of the
     middle values, and one within these the values.  No group is gathered.
     """
     keys = list(keys)
-    counts = values.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg(F.count("*").alias("n"))
+    counts = values.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     counts = counts.withColumn("bin", F.floor(F.col("_value") / width))
     bins = counts.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
     ordered = Window.partitionBy(*keys).orderBy("bin")
@@ -112,21 +177,25 @@ def exact_medians(values: DataFrame, keys: Sequence[str], value: str, width: flo
     return ranked.groupBy(*keys).agg(((at("low") + at("high")) / 2).alias("median"))
 
 
-def medians(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
-    """Exact median of the numbers from 0 to 10,000,000 per load and column."""
-    cells = long_cells(df, [load], columns).select(load, "column_name", number(F.col("raw")).alias("value"))
-    return exact_medians(cells.where(F.col("value").between(LOWEST, HIGHEST)), [load, "column_name"], "value", _BIN)
+def medians(counts: DataFrame, load: str) -> DataFrame:
+    """Exact median of the numbers from 0 to 10,000,000 per load and column, from
+    the counts of :func:`value_counts`."""
+    cells = counts.select(load, "column_name", number(F.col("raw")).alias("value"), "n")
+    return exact_medians(cells.where(F.col("value").between(LOWEST, HIGHEST)), [load, "column_name"], "value", _BIN, "n")
 
 
 def load_shifts(df: DataFrame, loads: DataFrame, table_name: str, columns: Sequence[str]) -> DataFrame:
     """Change of each column of each load against the load before it.
 
-    Result: load_id, column_name, share_missing, prev_share_missing, median,
-    prev_median, mean_difference (standardised), is_shift.
+    Result: load_id, column_name, share_missing, prev_share_missing, mean and
+    deviation of both, mean_difference (standardised by the pooled deviation),
+    is_mean_shift (that is above MEAN_SHIFT), skewness_difference, median,
+    prev_median, is_shift (by missing share or median).
     """
-    described = moments(power_sums(df, "load_id", columns)).join(medians(df, "load_id", columns), ["load_id", "column_name"], "left")
+    counts = materialise(value_counts(df, "load_id", columns))
+    described = moments(summed(counts, "load_id")).join(medians(counts, "load_id"), ["load_id", "column_name"], "left")
     described = described.withColumn("share_missing", F.col("n_missing") / F.col("n_rows"))
-    kept = ["share_missing", "median", "mean", "deviation", "n_missing", "n_rows"]
+    kept = ["share_missing", "n_missing", "n_rows", "mean", "deviation", "skewness", "median"]
     described = described.select("load_id", "column_name", *kept)
     chain = loads.where(F.col("target_table") == table_name).select("load_id", "prev_load_id").where("prev_load_id is not null").distinct()
     before = described.select(F.col("load_id").alias("prev_load_id"), "column_name", *(F.col(c).alias(f"prev_{c}") for c in kept))
@@ -136,14 +205,21 @@ def load_shifts(df: DataFrame, loads: DataFrame, table_name: str, columns: Seque
     missing = gap > 15 * F.col("n_rows") * F.col("prev_n_rows")
     ratio = (F.col("median") > MEDIAN_RATIO * F.col("prev_median")) | (F.col("prev_median") > MEDIAN_RATIO * F.col("median"))
     pooled = F.sqrt((F.col("deviation") ** 2 + F.col("prev_deviation") ** 2) / 2)
+    apart = F.try_divide(F.col("mean") - F.col("prev_mean"), pooled)
     return pairs.select(
         "load_id",
         "column_name",
         "share_missing",
         "prev_share_missing",
+        "mean",
+        "prev_mean",
+        "deviation",
+        "prev_deviation",
+        apart.alias("mean_difference"),
+        F.coalesce(F.abs(apart) > MEAN_SHIFT, F.lit(False)).alias("is_mean_shift"),
+        (F.col("skewness") - F.col("prev_skewness")).alias("skewness_difference"),
         "median",
         "prev_median",
-        F.try_divide(F.col("mean") - F.col("prev_mean"), pooled).alias("mean_difference"),
         (missing | F.coalesce(ratio, F.lit(False))).alias("is_shift"),
     )
 

@@ -40,6 +40,7 @@ NEXT = np.array(
     dtype=np.uint8,
 )
 CHUNK = 64
+YEAR = r"^[0-9]{4}\z"
 _SLICE = 1 << 20
 
 
@@ -149,8 +150,8 @@ def tokenise(lines: DataFrame) -> DataFrame:
 def _invalid(name: Column, value: Column) -> Column:
     return (
         F.when(name == "DataSeries", F.trim(value) == "")
-        .when(name == "_id", ~F.trim(value).rlike("^0*[1-9][0-9]*$"))
-        .when(name.rlike("^[0-9]{4}$"), ~(is_missing(value) | F.trim(value).rlike(NUMBER)))
+        .when(name == "_id", ~F.trim(value).rlike(r"^0*[1-9][0-9]*\z"))
+        .when(name.rlike(YEAR), ~(is_missing(value) | F.trim(value).rlike(NUMBER)))
         .otherwise(F.lit(False))
     )
 
@@ -182,7 +183,7 @@ def typed_rows(lines: DataFrame) -> DataFrame:
     null where missing) of the sound lines."""
     rows = judged(lines).where("reason is null")
     named = F.map_from_entries(F.arrays_zip("names", "fields"))
-    counts = F.transform_values(F.map_filter("named", lambda k, _: k.rlike("^[0-9]{4}$")), lambda _, v: F.when(~is_missing(v), F.trim(v).try_cast("double")))
+    counts = F.transform_values(F.map_filter("named", lambda k, _: k.rlike(YEAR)), lambda _, v: F.when(~is_missing(v), F.trim(v).try_cast("double")))
     counts = F.map_from_entries(F.transform(F.map_entries(counts), lambda e: F.struct(e["key"].cast("int"), e["value"])))
     return rows.withColumn("named", named).select(
         "line_id", "file_no", "line_no", F.trim(F.col("named")["_id"]).try_cast("decimal(38,0)").try_cast("long").alias("record_id"), F.trim(F.col("named")["DataSeries"]).alias("data_series"), counts.alias("counts")

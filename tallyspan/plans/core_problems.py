@@ -105,13 +105,18 @@ def p5_profile_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_shifts(spark: SparkSession, sf: str) -> DataFrame:
-    """Every count column of every load against the load before."""
+    """Every count column of every load against the load before.
+
+    Means and what follows from them are given to six decimals, skewness to four.
+    """
     loads = table(spark, sf, "source_loads")
     parts = []
     for name in WIDE:
         rows = table(spark, sf, name)
         parts.append(profile.load_shifts(rows, loads, name, profile.count_columns(rows)).withColumn("table_name", F.lit(name)))
-    return parts[0].unionByName(parts[1])
+    both = parts[0].unionByName(parts[1])
+    six = ("mean", "prev_mean", "deviation", "prev_deviation", "mean_difference")
+    return both.withColumns({c: F.round(c, 6) for c in six} | {"skewness_difference": F.round("skewness_difference", 4)})
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_claims, p2_found, p2_report, p2_table, p3_found, p3_faults, p3_rows, p5_found, p5_profile, p5_profile_all, p5_shifts)}
@@ -132,6 +137,7 @@ ORACLES: dict[str, str] = {
     "p1_found": nested_sql.P1_FOUND,
     "p1_claims": nested_sql.P1_CLAIMS,
     "p2_found": drift_sql.P2_FOUND,
+    "p2_report": drift_sql.P2_REPORT,
     "p3_found": rf"""WITH l AS (
         SELECT line_id, file_no, line_no, regexp_full_match(raw_line, {_FIELD} || '(?:' || {_MARK} || {_FIELD} || ')*') AS quoted_well,
           [CASE WHEN starts_with(x, '"') THEN replace(x[2:-2], '""', '"') ELSE x END FOR x IN regexp_extract_all(delim || raw_line, {_MARK} || '(' || {_FIELD} || ')', 1)] AS fields FROM region_lines),
@@ -150,6 +156,18 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT 'shift', d.table_name, d.load_id, d.column_name FROM described d JOIN chain c ON c.target_table = d.table_name AND c.load_id = d.load_id
         JOIN described b ON b.table_name = d.table_name AND b.load_id = c.prev_load_id AND b.column_name = d.column_name
         WHERE abs(d.m * b.n - b.m * d.n) * 100 > 15 * d.n * b.n OR d.med > 2 * b.med OR b.med > 2 * d.med""",
+    "p5_shifts": f"""WITH {_CELLS},
+      inside AS (SELECT *, CASE WHEN value BETWEEN 0 AND 10000000 THEN value END AS v FROM typed),
+      first AS (SELECT table_name, load_id, column_name, count(*) AS n, count(*) FILTER (WHERE is_missing) AS m, median(v) AS med, avg(v) AS mean, stddev_pop(v) AS sd FROM inside GROUP BY ALL),
+      third AS (SELECT table_name, load_id, column_name, avg((v - mean) ** 3) AS m3 FROM inside JOIN first USING (table_name, load_id, column_name) GROUP BY ALL),
+      d AS (SELECT *, CASE WHEN sd > 0 THEN m3 / sd ** 3 END AS skew FROM first JOIN third USING (table_name, load_id, column_name)),
+      p AS (SELECT d.*, b.n AS bn, b.m AS bm, b.med AS bmed, b.mean AS bmean, b.sd AS bsd, b.skew AS bskew FROM d
+        JOIN (SELECT DISTINCT target_table, load_id, prev_load_id FROM source_loads WHERE prev_load_id IS NOT NULL) c ON c.target_table = d.table_name AND c.load_id = d.load_id
+        JOIN d b ON b.table_name = d.table_name AND b.load_id = c.prev_load_id AND b.column_name = d.column_name)
+      SELECT table_name, load_id, column_name, m / n AS share_missing, bm / bn AS prev_share_missing, round(mean, 6) AS mean, round(bmean, 6) AS prev_mean, round(sd, 6) AS deviation, round(bsd, 6) AS prev_deviation,
+        round((mean - bmean) / nullif(sqrt((sd ** 2 + bsd ** 2) / 2), 0), 6) AS mean_difference, coalesce(abs((mean - bmean) / nullif(sqrt((sd ** 2 + bsd ** 2) / 2), 0)) > 0.5, false) AS is_mean_shift,
+        round(skew - bskew, 4) AS skewness_difference, med AS median, bmed AS prev_median,
+        abs(m * bn - bm * n) * 100 > 15 * n * bn OR coalesce(med > 2 * bmed OR bmed > 2 * med, false) AS is_shift FROM p""",
     "p5_profile": f"""WITH {_CELLS} SELECT table_name, column_name, count(*) AS n_rows, count(*) FILTER (WHERE raw IS NULL) AS n_null, count(*) FILTER (WHERE raw IS NOT NULL AND is_missing) AS n_marker, count(DISTINCT raw) AS n_distinct,
       min(value) AS min_value, max(value) AS max_value, count(*) FILTER (WHERE NOT is_missing AND value IS NULL) AS n_pattern, count(*) FILTER (WHERE value < 0 OR value > 10000000) AS n_range FROM typed GROUP BY ALL""",
     "p5_profile_all": f"""WITH cells AS (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tallyspan.operators.profile import count_columns, faulty_cells, power_sums
+from tallyspan.operators.profile import SUMS, count_columns, faulty_cells, power_sums
 
 
 def read_loads(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
@@ -33,5 +33,5 @@ def merge_power_sums(rows: DataFrame, folder: str, checkpoint: str):
 def merged_power_sums(spark: SparkSession, folder: str) -> DataFrame:
     """The sums of all batches so far, per load and column."""
     parts = spark.read.parquet(folder)
-    names = ("n_rows", "n_missing", "n_numbers", "s1", "s2", "s3", "s4")
-    return parts.groupBy("load_id", "column_name").agg(*(F.sum(n).alias(n) for n in names))
+    # The sums keep their types: a sum of sums has room for as many digits.
+    return parts.groupBy("load_id", "column_name").agg(*(F.sum(n).cast(parts.schema[n].dataType).alias(n) for n in SUMS))

@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyspan.functions.numbers import NUMBER, is_missing
+from tallyspan.session import look_up, materialise
 
 # States after a byte.
 START, PLAIN, QUOTED, QUOTE, FAULT = range(5)
-# Classes of a byte; PAD fills up the last chunk of a line.
+# Classes of a byte; PAD fills up the last chunk of a line, and stands for the
+# bytes of a long delimiter after its first.
 OTHER, DELIMITER, MARK, BREAK, PAD = range(5)
 #: NEXT[state, class]
 NEXT = np.array(
@@ -44,19 +46,45 @@ YEAR = r"^[0-9]{4}\z"
 _SLICE = 1 << 20
 
 
-def tokenise_bytes(data: np.ndarray, starts: np.ndarray, delimiters: np.ndarray) -> tuple[pa.ListArray, np.ndarray]:
+def _long_delimiters(data: np.ndarray, line_of: np.ndarray, delimiter: bytes, lines: np.ndarray) -> np.ndarray:
+    """Where a delimiter of several bytes starts in the ``lines`` that use it.
+
+    Occurrences are taken from the left and do not overlap.
+    """
+    size = len(delimiter)
+    at = np.flatnonzero((data == delimiter[0]) & lines[line_of])
+    at = at[at + size <= len(data)]
+    for j in range(1, size):
+        at = at[(data[at + j] == delimiter[j]) & (line_of[at + j] == line_of[at])]
+    if (np.diff(at) >= size).all():
+        return at
+    chosen, end = [], -1
+    for i in at.tolist():
+        if i >= end:
+            chosen.append(i)
+            end = i + size
+    return np.array(chosen, dtype=np.int64)
+
+
+def tokenise_bytes(data: np.ndarray, starts: np.ndarray, delimiters: list[bytes]) -> tuple[pa.ListArray, np.ndarray]:
     """Fields of every line, and the offset of its first fault (-1: none).
 
     ``data`` holds the lines' bytes, ``starts`` their bounds (one more than
-    lines), ``delimiters`` one byte a line.  A faulty line has no fields; the
-    offset of an unclosed quote is the length of the line.
+    lines), ``delimiters`` the delimiter of each line, of one or more bytes.  A
+    faulty line has no fields; the offset of an unclosed quote is the length of
+    the line.
     """
     lines, lengths = len(starts) - 1, np.diff(starts)
     line_of = np.repeat(np.arange(lines), lengths)
     kind = np.full(len(data), OTHER, dtype=np.uint8)
     kind[(data == 10) | (data == 13)] = BREAK
-    kind[data == delimiters[line_of]] = DELIMITER
+    spellings, used = np.unique(np.array(delimiters, dtype=object).astype(bytes), return_inverse=True) if lines else ([], None)
     kind[data == 34] = MARK
+    for n, delimiter in enumerate(map(bytes, spellings)):
+        at = _long_delimiters(data, line_of, delimiter, used == n)
+        kind[at] = DELIMITER
+        for j in range(1, len(delimiter)):
+            kind[at + j] = PAD
 
     chunks = np.maximum(1, -(-lengths // CHUNK))
     first = np.cumsum(chunks) - chunks
@@ -97,7 +125,7 @@ def tokenise_bytes(data: np.ndarray, starts: np.ndarray, delimiters: np.ndarray)
 
     sound = fault[line_of] < 0
     split = (kind == DELIMITER) & (before != QUOTED) & sound
-    keep = sound & ~split & ~((kind == MARK) & ((before == START) | (before == QUOTED)))
+    keep = sound & ~split & ~((kind == MARK) & ((before == START) | (before == QUOTED))) & ~((kind == PAD) & (before == START))
     fields = np.where(fault < 0, np.bincount(line_of[split], minlength=lines) + 1, 0)
     bounds = np.concatenate([[0], np.cumsum(fields)])
     field_of = (bounds[:-1][line_of] + _count_within(split, starts[:-1][line_of]))[keep]
@@ -115,17 +143,12 @@ def _count_within(flags: np.ndarray, line_start: np.ndarray) -> np.ndarray:
 
 def tokenise(lines: DataFrame) -> DataFrame:
     """line_id, file_no, line_no, fields, fault_offset (null: none) of each line."""
-    unit = F.lit("\x1f")
-    given = F.when(F.length("delim") > 0, F.col("delim")).otherwise(F.lit(","))
-    single = F.octet_length(given) == 1
-    raw = F.coalesce("raw_line", F.lit(""))
     source = lines.select(
         F.col("line_id").cast("long"),
         F.col("file_no").cast("long"),
         F.col("line_no").cast("int"),
-        F.when(single, raw).otherwise(F.replace(raw, given, unit)).alias("raw"),
-        F.when(single, given).otherwise(unit).alias("delim"),
-        F.when(~single, given).alias("spelled"),
+        F.coalesce("raw_line", F.lit("")).alias("raw"),
+        F.when(F.length("delim") > 0, F.col("delim")).otherwise(F.lit(",")).alias("delim"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,15 +159,11 @@ def tokenise(lines: DataFrame) -> DataFrame:
                 raws = batch.column(3).cast(pa.binary())
                 starts = np.concatenate([[0], np.cumsum(pa.compute.binary_length(raws).to_numpy(zero_copy_only=False))]).astype(np.int64)
                 data = np.frombuffer(b"".join(raws.to_pylist()), dtype=np.uint8)
-                delimiters = np.frombuffer(b"".join(batch.column(4).cast(pa.binary()).to_pylist()), dtype=np.uint8)
-                fields, fault = tokenise_bytes(data, starts, delimiters)
+                fields, fault = tokenise_bytes(data, starts, batch.column(4).cast(pa.binary()).to_pylist())
                 offset = pa.array(fault.astype(np.int32), mask=fault < 0)
-                yield pa.record_batch([*batch.columns[:3], fields, offset, batch.column(5)], names=["line_id", "file_no", "line_no", "fields", "fault_offset", "spelled"])
+                yield pa.record_batch([*batch.columns[:3], fields, offset], names=["line_id", "file_no", "line_no", "fields", "fault_offset"])
 
-    tokens = source.mapInArrow(run, "line_id long, file_no long, line_no int, fields array<string>, fault_offset int, spelled string")
-    # A delimiter of several bytes went through as one unit separator.
-    restored = F.when(F.col("spelled").isNull(), F.col("fields")).otherwise(F.transform("fields", lambda f: F.replace(f, unit, F.col("spelled"))))
-    return tokens.withColumn("fields", restored).drop("spelled")
+    return source.mapInArrow(run, "line_id long, file_no long, line_no int, fields array<string>, fault_offset int")
 
 
 def _invalid(name: Column, value: Column) -> Column:
@@ -165,7 +184,8 @@ def judged(lines: DataFrame) -> DataFrame:
     # The tokenizer hides filters from the scan, so they come before it.
     headers = tokenise(lines.where("line_no = 0")).where("fault_offset is null").groupBy("file_no").agg(F.min_by("fields", "line_id").alias("names"))
     headers = headers.withColumn("names", F.transform("names", lambda n: F.regexp_replace(F.trim(n), "^﻿", "")))
-    rows = tokenise(lines.where("line_no is distinct from 0")).join(headers, "file_no", "left")
+    # One small row a file; the lines of a large file need not meet.
+    rows = look_up(tokenise(lines.where("line_no is distinct from 0")), materialise(headers), ["file_no"])
     bad = F.filter(F.arrays_zip("names", "fields"), lambda x: _invalid(x["names"], x["fields"]))
     fits = F.coalesce(F.size("fields") == F.size("names"), F.lit(False)) & F.col("names").isNotNull()
     rows = rows.withColumn("_bad", F.when(fits, F.get(bad, F.lit(0))["names"]))

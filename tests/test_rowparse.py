@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from tallyspan.operators import rowparse
+from tallyspan.session import look_up
 
 LINES = "line_id long, file_no long, line_no int, delim string, raw_line string, fields string"
 
@@ -40,7 +41,7 @@ def test_tokeniser_matches_a_byte_loop():
     lines += [b'"' + b'x""y\n' * 2000 + b'",z', b"a," * 3000, b'"' + b"x" * 5000]
     delims = [rng.choice(b",;") for _ in lines]
     starts = np.concatenate([[0], np.cumsum([len(x) for x in lines])])
-    fields, fault = rowparse.tokenise_bytes(np.frombuffer(b"".join(lines), np.uint8), starts, np.array(delims, np.uint8))
+    fields, fault = rowparse.tokenise_bytes(np.frombuffer(b"".join(lines), np.uint8), starts, [bytes([d]) for d in delims])
     for line, delim, got, at in zip(lines, delims, fields.to_pylist(), fault.tolist(), strict=True):
         want = parse(line, bytes([delim]))
         assert (at, got) == ((want, []) if isinstance(want, int) else (-1, [f.decode() for f in want]))
@@ -63,12 +64,30 @@ def test_reasons(spark):
         (13, 4, 0, "||", "DataSeries||_id"),
         (14, 4, 1, "||", '"a||b"||3'),
         (15, 1, 9, ",", "x,1 ,1"),
+        (16, 4, 2, "||", '"a""||\x1f"||4'),
+        (17, 4, 3, "||", "a|||5"),
+        (18, 1, 10, ",", 'a,"7\n",1'),
+        (19, 1, 11, ",", 'a,7,"5\n"'),
         (5, 1, 4, ",", "a,1"),
     ]
     lines = spark.createDataFrame([(*r, "clash") for r in rows], LINES)
     got = sorted((r.line_id, r.reason) for r in rowparse.unsound_lines(lines).collect())
-    invalid = [(i, "invalid_value") for i in (6, 7, 8, 15)]
+    invalid = [(i, "invalid_value") for i in (6, 7, 8, 15, 17, 18, 19)]
     assert got == sorted([(4, "quoting"), *invalid, *((i, "column_count") for i in (5, 5, 9, 10))])
     typed = {r.line_id: (r.record_id, r.data_series, r.counts) for r in rowparse.typed_rows(lines).collect()}
-    assert typed == {2: (1, "a", {2021: 1.5}), 3: (7, "a\nb", {2021: None}), 12: (1, "x", {2020: None}), 14: (3, "a||b", {})}
+    assert typed == {2: (1, "a", {2021: 1.5}), 3: (7, "a\nb", {2021: None}), 12: (1, "x", {2020: None}), 14: (3, "a||b", {}), 16: (4, 'a"||\x1f', {})}
     assert rowparse.unsound_lines(lines.limit(0)).count() == 0
+
+
+def test_long_delimiters_keep_offsets(spark):
+    lines = spark.createDataFrame([(1, 1, 0, "::", "DataSeries::_id", ""), (2, 1, 1, "::", 'a::b"c', ""), (3, 1, 2, "::", '"a::b', "")], LINES)
+    assert {r.line_id: r.fault_offset for r in rowparse.unsound_lines(lines).collect()} == {2: 4, 3: 5}
+
+
+def test_large_lookup_tables_are_salted(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(200)] + [(2, 999), (None, 998)], "k int, i int")
+    small = spark.createDataFrame([(1, "a"), (3, "c")], "k int, name string")
+    want = sorted([(i, "a") for i in range(200)] + [(998, ""), (999, "")])
+    for limit in (0, 10**9):
+        got = look_up(rows, small, ["k"], limit=limit)
+        assert got.columns == ["k", "i", "name"] and sorted((r.i, r.name or "") for r in got.collect()) == want

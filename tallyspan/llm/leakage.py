@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyspan.llm.words import hashed_words, plain_bytes, text_slices
 
-#: Words of the query set that are indexed and sent to the tasks at a time.
-BLOCK_WORDS = 2_000_000
+#: Bytes of the index that is sent to the tasks at a time, and what a word of a
+#: passage takes of it: nine keys with their item and place, its hash and pair.
+BLOCK_BYTES = 64_000_000
+_WORD_BYTES = 160
 SHARE = 0.4
 PER_EDIT = 7  # matches that each edit needs: one word in eight altered
 WALKS = 3
@@ -34,7 +36,7 @@ DRAWS = 3
 SAMPLES = 7
 _SIZES = (4, 6, 8, 12, 16, 24, 32, 48, 64)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
-_BLOOM_BITS = 22
+_BLOOM_BITS = 22  # at most; 64 bits a pair where that is less
 _TOGETHER = 5
 
 
@@ -44,9 +46,19 @@ def needed(n_words: int) -> int:
 
 
 def window_size(n_words: int) -> int:
-    """Window for a passage: about three quarters of the stretch that counts."""
-    fit = [s for s in _SIZES if s <= max(1, needed(n_words)) * 0.75]
-    return fit[-1] if fit else max(1, needed(n_words))
+    """Window for a passage: at most half of the stretch that counts.
+
+    Where all edits of a stretch stand together, one of the parts beside them
+    then holds a whole window.
+    """
+    half = max(1, -(-needed(n_words) // 2))
+    fit = [s for s in _SIZES if s <= half]
+    return fit[-1] if fit else half
+
+
+def spoiled_pairs(size: int) -> int:
+    """Word pairs that the edits of a window may spoil: its share, rounded up."""
+    return 2 * -(-size // (PER_EDIT + 1))
 
 
 def pairs_of(words: np.ndarray) -> np.ndarray:
@@ -95,6 +107,7 @@ class Index:
 @dataclass
 class SizeIndex:
     bloom: np.ndarray
+    bits: int
     pairs: np.ndarray
     least: int
     keys: np.ndarray
@@ -117,12 +130,13 @@ def build_index(ids: list[int], passages: list[str]) -> Index:
         keys = np.concatenate([k for w in range(WALKS) for k in walk_keys(_padded(words, size), flat, size, w)])
         order = np.argsort(keys, kind="stable")
         unique = np.unique(np.concatenate(pairs))
-        bloom = np.zeros(1 << _BLOOM_BITS, dtype=bool)
-        bloom[(unique >> np.uint64(64 - _BLOOM_BITS)).astype(np.int64)] = True
-        longest = max(needed(int(bounds[i + 1] - bounds[i])) for i in members)
-        least = max(1, size - 1 - 2 * (longest // (PER_EDIT + 1)))
+        bits = min(_BLOOM_BITS, max(10, (64 * len(unique)).bit_length()))
+        bloom = np.zeros(1 << bits, dtype=bool)
+        bloom[(unique >> np.uint64(64 - bits)).astype(np.int64)] = True
+        least = max(1, size - 1 - spoiled_pairs(size))
         repeats = WALKS * DRAWS
-        sizes[size] = SizeIndex(bloom, unique, least, keys[order], np.tile(item, repeats)[order], np.tile(flat - bounds[item], repeats)[order])
+        place = (flat - bounds[item]).astype(np.int32)
+        sizes[size] = SizeIndex(bloom, bits, unique, least, keys[order], np.tile(item.astype(np.int32), repeats)[order], np.tile(place, repeats)[order])
     return Index(np.array(ids, dtype=np.int64), words, bounds, sizes)
 
 
@@ -138,12 +152,11 @@ def candidates(index: Index, words: np.ndarray, bounds: np.ndarray) -> tuple[np.
     """
     found = []
     pairs = pairs_of(words) if len(words) > 1 else np.zeros(0, dtype=np.uint64)
-    slot = (pairs >> np.uint64(64 - _BLOOM_BITS)).astype(np.int64)
     for size, part in index.sizes.items():
         if size == 1:
             at = np.flatnonzero(np.isin(words, index.words))
         else:
-            maybe = np.flatnonzero(part.bloom[slot])
+            maybe = np.flatnonzero(part.bloom[(pairs >> np.uint64(64 - part.bits)).astype(np.int64)])
             hit = np.zeros(len(pairs) + 1, dtype=np.int32)
             hit[maybe[np.isin(pairs[maybe], part.pairs)] + 1] = 1
             run = np.cumsum(hit, out=hit)
@@ -183,6 +196,12 @@ def _aligned(index: Index, words: np.ndarray, bounds: np.ndarray, text: np.ndarr
     return (there == passage[:, :, None]) & valid
 
 
+def _band(n_words: np.ndarray) -> int:
+    """How far the words of a match may stand from its diagonal: by as many
+    words as a whole passage may have put in or left out."""
+    return max(6, int(n_words.max()) // PER_EDIT + _TOGETHER // 2)
+
+
 def verify(equal: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     """Whether some stretch holds enough of the passage within the edits allowed.
 
@@ -220,17 +239,18 @@ def matches(index: Index, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     n_words = np.diff(index.bounds)
     for at in range(0, len(text), 256):
         t, i, d = text[at : at + 256], item[at : at + 256], diagonal[at : at + 256]
-        near = _aligned(index, words, bounds, t, i, d, 8).any(axis=2).cumsum(axis=1)
-        # A cheap upper bound first: held words within any stretch of the length that counts.
+        band = _band(n_words[i])
+        near = _aligned(index, words, bounds, t, i, d, band).any(axis=2).cumsum(axis=1)
+        # A bound that no match fails: a stretch that just holds enough words spans
+        # no more words of the passage than these and the edits allowed with them.
         least = np.array([needed(int(n)) for n in n_words[i]])
         lead = np.concatenate([np.zeros((len(t), 1), dtype=near.dtype), near], axis=1)
-        ends = np.minimum(np.arange(lead.shape[1])[None, :] + least[:, None], lead.shape[1] - 1)
-        likely = (np.take_along_axis(lead, ends, axis=1) - lead).max(axis=1) >= 0.7 * least
+        ends = np.minimum(np.arange(lead.shape[1])[None, :] + (least + least // PER_EDIT)[:, None], lead.shape[1] - 1)
+        likely = (np.take_along_axis(lead, ends, axis=1) - lead).max(axis=1) >= least
         t, i, d = t[likely], i[likely], d[likely]
         for part in range(0, len(t), 32):
             chosen = slice(part, part + 32)
-            band = max(6, int(n_words[i[chosen]].max()) // PER_EDIT + _TOGETHER // 2)
-            good = verify(_aligned(index, words, bounds, t[chosen], i[chosen], d[chosen], band), n_words[i[chosen]])
+            good = verify(_aligned(index, words, bounds, t[chosen], i[chosen], d[chosen], _band(n_words[i[chosen]])), n_words[i[chosen]])
             found.append(np.stack([t[chosen][good], i[chosen][good]], axis=1))
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
 
@@ -242,8 +262,8 @@ def _blocks(items: DataFrame) -> Iterator[Index]:
     for row in items.toLocalIterator():
         ids.append(row[0])
         passages.append(row[1])
-        size += len(row[1].split())
-        if size >= BLOCK_WORDS:
+        size += len(row[1].split()) * _WORD_BYTES
+        if size >= BLOCK_BYTES:
             yield build_index(ids, passages)
             ids, passages, size = [], [], 0
     if ids:

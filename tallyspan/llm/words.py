@@ -11,9 +11,10 @@ import numpy as np
 
 SLICE_CHARS = 2_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
-_TAG = re.compile(r"<[^<>]{1,200}>")
+# A tag opens with a letter, a slash or a declaration sign; it may be of any length.
+_TAG = re.compile(r"<[A-Za-z/!?][^<>]*>")
 _FOREIGN = re.compile(r"[^\x00-\x7f]+")
-_ENTITY = re.compile(r"&#?\w{2,8};")
+_ENTITY = re.compile(r"&#?\w+;")
 
 
 def _ascii_table() -> bytes:

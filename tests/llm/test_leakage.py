@@ -64,3 +64,36 @@ def test_empty(spark):
     docs, items = spark.createDataFrame([(1, "a b", "x", 1)], DOCS), spark.createDataFrame([(1, "a b", "x")], ITEMS)
     assert leakage.leaked(docs, items.limit(0)).count() == 0 and leakage.leaked(docs.limit(0), items).count() == 0
     assert [tuple(r) for r in leakage.leaked(docs, items).collect()] == [(1, 1)]
+
+
+def at_the_limit(rng, passage, kind):
+    """Two fifths of a passage with as many edits as they allow, in one place or scattered."""
+    need = leakage.needed(len(passage))
+    edits = need // leakage.PER_EDIT
+    held = need + (edits if "put in" not in kind else 0)
+    start = rng.randrange(len(passage) - held + 1)
+    stretch = passage[start : start + held]
+    fresh = [f"new{rng.randrange(10**6)}" for _ in range(edits)]
+    if kind.startswith("together"):
+        middle = min(held // 2, held - edits - 1)
+        return stretch[:middle] + ([] if "left out" in kind else fresh) + stretch[middle if "put in" in kind else middle + edits :]
+    places = sorted(rng.sample(range(1, held - 1), edits), reverse=True)
+    for place, word in zip(places, fresh):
+        stretch[place : place + ("put in" not in kind)] = [] if "left out" in kind else [word]
+    return stretch
+
+
+@pytest.mark.parametrize("kind", [f"{where}, {what}" for where in ("together", "scattered") for what in ("altered", "put in", "left out")])
+def test_recall_at_the_limit(kind):
+    rng = random.Random(23)
+    for n, least in ((45, 0.97), (54, 0.97), (80, 0.97), (121, 0.97), (160, 0.97), (240, 0.95), (300, 0.95)):
+        passages = [words_of(rng, n) for _ in range(40)]
+        index = leakage.build_index(list(range(40)), [" ".join(p) for p in passages])
+        docs = [" ".join([*words_of(rng, 60), *at_the_limit(rng, p, kind), *words_of(rng, 60)]) for p in passages]
+        found = leakage.matches(index, *hashed_words([plain_bytes(d) for d in docs]))
+        assert len(found) >= least * 40 and (found[:, 0] == found[:, 1]).all(), (n, len(found))
+
+
+def test_markup_of_any_length():
+    assert plain_bytes("a &CounterClockwiseContourIntegral; b").split() == [b"a", b"b"]
+    assert plain_bytes(f"a <a title='{'x ' * 300}'>b</a> c < d > e").split() == [b"a", b"b", b"c", b"d", b"e"]

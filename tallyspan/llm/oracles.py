@@ -47,14 +47,14 @@ _COUNT = lambda name: f"len(list_filter(string_split({_plain('body')}, ' '), lam
 
 P8_FOUND = rf"""
 WITH lines AS (
-  SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(text, '<[^<>]{{1,200}}>', ' ', 'g'), chr(10)),
+  SELECT doc_id, regexp_extract(lower(trim(lang, ' ')), '^([a-z]{{2}})(?:[-_].*)?$', 1) AS label, array_to_string(list_filter(string_split(regexp_replace(text, '<[A-Za-z/!?][^<>]*>', ' ', 'g'), chr(10)),
     lambda l: NOT contains(l, '|') AND NOT regexp_matches(l, '^[ \t]*(#|[-*+•‣·–—][ \t]|\(?[0-9]{{1,3}}[.)][ \t])')), chr(10)) AS body FROM documents WHERE text IS NOT NULL),
 parts AS (
-  SELECT doc_id, body, list_filter(regexp_split_to_array(regexp_replace(body, '\p{{Cf}}', '', 'g'), '[\s\p{{Zs}}]+'), lambda t: regexp_matches(t, '[\p{{L}}\p{{N}}]')) AS words,
+  SELECT doc_id, label, body, list_filter(regexp_split_to_array(regexp_replace(body, '\p{{Cf}}', '', 'g'), '[\s\p{{Zs}}]+'), lambda t: regexp_matches(t, '[\p{{L}}\p{{N}}]')) AS words,
     list_filter(string_split(regexp_replace(body || ' ', '[.!?]([\s\p{{Zs}}"''`()\[\]{{}}<>“”‘’«»])', chr(1) || '\1', 'g'), chr(1)), lambda s: regexp_matches(s, '[\p{{L}}\p{{N}}]')) AS sentences FROM lines),
 counted AS (
-  SELECT doc_id, len(words) AS n_words, len(sentences) AS n_sentences, list_sum([length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) FOR t IN words]) AS n_letters, len(list_filter(words, lambda t: regexp_matches(t, '\p{{L}}'))) AS n_lettered,
+  SELECT doc_id, label, len(words) AS n_words, len(sentences) AS n_sentences, list_sum([length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) FOR t IN words]) AS n_letters, len(list_filter(words, lambda t: regexp_matches(t, '\p{{L}}'))) AS n_lettered,
     {_COUNT("en")} AS en, {_COUNT("de")} AS de, {_COUNT("fr")} AS fr FROM parts)
-SELECT doc_id FROM counted WHERE en > 0 AND en >= de AND en >= fr AND n_words > 22 * n_sentences AND 10 * n_letters > 58 * n_lettered"""
+SELECT doc_id FROM counted WHERE en > 0 AND CASE WHEN label = 'de' AND 5 * de >= en + de + fr OR label = 'fr' AND 5 * fr >= en + de + fr THEN false ELSE en >= de AND en >= fr END AND n_words > 22 * n_sentences AND 10 * n_letters > 58 * n_lettered"""
 
 ORACLES = {"p4_found": P4_FOUND, "p8_found": P8_FOUND}

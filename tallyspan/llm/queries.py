@@ -58,7 +58,9 @@ def _levels(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """The demanding English documents."""
-    return reading.demanding(_levels(spark, sf))
+    documents = table(spark, sf, "documents")
+    grades = reading.fit(documents, table(spark, sf, "reading_labels"))
+    return reading.demanding(reading.score(documents, grades), grades)
 
 
 def p8_levels(spark: SparkSession, sf: str) -> DataFrame:

@@ -21,14 +21,14 @@ def _plain(text: str) -> str:
 _PATH = r"regexp_replace(replace(lower(trim({0}, ' ')), '\', '/'), '^\./', '')"
 _CASE = lambda names: "CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
 
-P4_FOUND = rf"""
+_P4 = rf"""
 WITH roles AS (
   SELECT DISTINCT {_PATH.format("benchmark_file")} AS file, 'e' AS role FROM freeze_manifests WHERE lower(trim(freeze_status, ' ')) = 'frozen' AND benchmark_file IS NOT NULL
   UNION SELECT DISTINCT {_PATH.format("development_benchmark")}, 't' FROM freeze_manifests WHERE development_benchmark IS NOT NULL),
 places AS (
   SELECT DISTINCT regexp_replace({_plain("name")}, ' total$', '') AS p FROM (SELECT number_label AS name FROM census_rows UNION SELECT planning_area FROM census_rows UNION SELECT planning_region FROM region_rows) WHERE name IS NOT NULL),
 q AS (
-  SELECT example_id, role, {_plain("question")} AS w FROM qa_examples JOIN roles ON file = {_PATH.format("benchmark_file")} WHERE question IS NOT NULL),
+  SELECT example_id, file, role, {_plain("question")} AS w FROM qa_examples JOIN roles ON file = {_PATH.format("benchmark_file")} WHERE question IS NOT NULL),
 named AS (SELECT q.w, list(DISTINCT p) AS l FROM (SELECT DISTINCT w FROM q) q JOIN places ON contains(' ' || q.w || ' ', ' ' || p || ' ') AND p NOT IN ('', 'total') GROUP BY q.w),
 facts AS (
   SELECT DISTINCT q.w, list_sort(list_filter(coalesce(l, []), lambda a: NOT list_any_value([b FOR b IN l IF b <> a AND contains(' ' || b || ' ', ' ' || a || ' ')]) IS NOT NULL)) AS place,
@@ -37,11 +37,14 @@ facts AS (
     list_sort(list_distinct(list_filter([{_CASE(SEXES)} FOR x IN string_split(q.w, ' ')], lambda s: s IS NOT NULL))) AS sexes,
     list_sort(list_distinct(list_filter([{_CASE(GROUPS)} FOR x IN string_split(q.w, ' ')], lambda s: s IS NOT NULL))) AS groups
   FROM q LEFT JOIN named ON named.w = q.w),
-f AS (SELECT example_id, role, q.w, string_split(q.w, ' ') AS words, facts.* EXCLUDE (w) FROM q JOIN facts ON facts.w = q.w),
+f AS (SELECT example_id, file, role, q.w, string_split(q.w, ' ') AS words, facts.* EXCLUDE (w) FROM q JOIN facts ON facts.w = q.w),
 c AS (
-  SELECT a.example_id AS i, b.example_id AS j, a.words AS x, b.words AS y, len(list_filter(a.words, lambda t: list_contains(b.words, t))) AS xy, len(list_filter(b.words, lambda t: list_contains(a.words, t))) AS yx
-  FROM f a JOIN f b ON a.role = 'e' AND b.role = 't' AND a.example_id <> b.example_id AND a.place = b.place AND a.years = b.years AND a.ages = b.ages AND a.sexes = b.sexes AND a.groups = b.groups)
-SELECT DISTINCT least(i, j) AS example_a, greatest(i, j) AS example_b FROM c WHERE (len(x) <= len(y) AND 4 * xy >= 3 * len(x)) OR (len(y) <= len(x) AND 4 * yx >= 3 * len(y))"""
+  SELECT a.example_id AS i, b.example_id AS j, a.file AS fi, b.file AS fj, a.words AS x, b.words AS y, len(list_filter(a.words, lambda t: list_contains(b.words, t))) AS xy, len(list_filter(b.words, lambda t: list_contains(a.words, t))) AS yx
+  FROM f a JOIN f b ON a.role = 'e' AND b.role = 't' AND a.example_id <> b.example_id AND a.place = b.place AND a.years = b.years AND a.ages = b.ages AND a.sexes = b.sexes AND a.groups = b.groups),
+pairs AS (SELECT * FROM c WHERE (len(x) <= len(y) AND 4 * xy >= 3 * len(x)) OR (len(y) <= len(x) AND 4 * yx >= 3 * len(y)))"""
+P4_FOUND = f"{_P4} SELECT DISTINCT least(i, j) AS example_a, greatest(i, j) AS example_b FROM pairs"
+P4_REPORT = f"""{_P4}, purposes AS (SELECT DISTINCT {_PATH.format("benchmark_file")} AS file, purpose FROM freeze_manifests WHERE lower(trim(freeze_status, ' ')) = 'frozen' AND benchmark_file IS NOT NULL)
+SELECT fi AS evaluation_file, purpose, fj AS training_file, count(*) AS n_pairs, count(DISTINCT i) AS n_evaluation, count(DISTINCT j) AS n_training FROM pairs JOIN purposes ON purposes.file = fi GROUP BY ALL"""
 
 _COUNT = lambda name: f"len(list_filter(string_split({_plain('body')}, ' '), lambda t: list_contains({_list(FUNCTION_WORDS[name])}, t)))"
 
@@ -57,4 +60,4 @@ counted AS (
     {_COUNT("en")} AS en, {_COUNT("de")} AS de, {_COUNT("fr")} AS fr FROM parts)
 SELECT doc_id FROM counted WHERE en > 0 AND CASE WHEN label = 'de' AND 5 * de >= en + de + fr OR label = 'fr' AND 5 * fr >= en + de + fr THEN false ELSE en >= de AND en >= fr END AND n_words > 22 * n_sentences AND 10 * n_letters > 58 * n_lettered"""
 
-ORACLES = {"p4_found": P4_FOUND, "p8_found": P8_FOUND}
+ORACLES = {"p4_found": P4_FOUND, "p4_report": P4_REPORT, "p8_found": P8_FOUND}

@@ -8,21 +8,21 @@ from tallyspan.llm import leakage, oracles, overlap, packing, reading
 from tallyspan.session import table
 
 
-def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
+def _questions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     census, regions = table(spark, sf, "census_rows"), table(spark, sf, "region_rows")
     places = overlap.place_names((census, "planning_area"), (census, "number_label"), (regions, "planning_region"))
-    return overlap.overlaps(table(spark, sf, "qa_examples"), table(spark, sf, "freeze_manifests"), places)
+    return table(spark, sf, "qa_examples"), table(spark, sf, "freeze_manifests"), places
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of an evaluation and a training example, smaller id first."""
     a, b = F.col("evaluation_id"), F.col("training_id")
-    return _overlaps(spark, sf).select(F.least(a, b).alias("example_a"), F.greatest(a, b).alias("example_b")).distinct()
+    return overlap.overlaps(*_questions(spark, sf)).select(F.least(a, b).alias("example_a"), F.greatest(a, b).alias("example_b")).distinct()
 
 
 def p4_report(spark: SparkSession, sf: str) -> DataFrame:
     """Overlap counts per evaluation file, purpose and training file."""
-    return overlap.overlap_report(_overlaps(spark, sf), table(spark, sf, "freeze_manifests"))
+    return overlap.overlap_report(*_questions(spark, sf))
 
 
 def _packed(spark: SparkSession, sf: str) -> DataFrame:

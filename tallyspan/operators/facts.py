@@ -68,7 +68,7 @@ def operand_label(place: Column) -> Column:
     return F.concat_ws(", ", place, F.col("year"), shown("age_group"), shown("sex"))
 
 
-def fact_id(operation: str, evidence_ids: Column) -> Column:
+def fact_id(operation: str | Column, evidence_ids: Column) -> Column:
     """``fact-`` and 16 hex digits of the hash of operation and evidence ids."""
     text = F.to_json(F.struct(evidence_ids.alias("evidence_ids"), F.lit(operation).alias("operation")))
     return F.concat(F.lit("fact-"), F.substring(F.sha2(text, 256), 1, 16))

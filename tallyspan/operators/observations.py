@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyspan.functions.numbers import is_missing, is_number, number
 from tallyspan.functions.text import slug
 from tallyspan.operators.fill import fill_forward
+from tallyspan.operators.nested import flatten_records
 from tallyspan.operators.profile import count_columns, long_cells
 
+INDICATOR_SOURCE = "population_indicators_annual"
 REGION_SOURCE = "residents_by_planning_region_annual"
 CENSUS_SOURCE = "resident_population_census_2020"
 CENSUS_YEAR = 2020
@@ -111,6 +113,39 @@ def census_observations(census_rows: DataFrame, only_latest: bool = False) -> Da
     ).withColumns(parsed())
 
 
+def indicator_observations(payloads: DataFrame) -> DataFrame:
+    """One row per record and year of the national indicator payloads.
+
+    The series is the record's trimmed label; its columns are those of the other
+    sources, and ``series``.  Records of renamed label or year fields have none;
+    ``drift.promote`` brings those back.
+    """
+    rows = flatten_records(payloads.where(F.col("source_id") == INDICATOR_SOURCE))
+    rows = rows.where("record_id is not null").select(F.col("file_id").alias("load_id"), "record_no", "record_id", F.trim(F.col("members")["DataSeries"]).alias("series"), F.explode("members").alias("field", "raw"))
+    rows = rows.where(F.col("field").rlike(r"^(?:19|20)[0-9]{2}\z")).withColumn("year", F.col("field").cast("int"))
+    evidence = F.concat(F.lit(f"{INDICATOR_SOURCE}:r"), F.col("record_id"), F.lit(":y"), F.col("year"))
+    none = F.lit(None).cast("string")
+    return rows.select(
+        evidence.alias("evidence_id"), F.lit(INDICATOR_SOURCE).alias("source_id"), "load_id", F.col("record_no").cast("long").alias("row_id"), F.col("record_id").cast("int").alias("record_id"), "year",
+        F.lit("national").alias("geography_level"), F.lit("Talmera").alias("geography"), none.alias("planning_region"), none.alias("planning_area"), none.alias("subzone"),
+        none.alias("sex"), none.alias("age_group"), "raw", "series",
+    ).withColumns(parsed())
+
+
+def latest_of(observations: DataFrame) -> DataFrame:
+    """The observation of the last load (then the last row) of each evidence id."""
+    newest = F.max_by(F.struct(*(c for c in observations.columns if c != "evidence_id")), F.struct("load_id", "row_id"))
+    return observations.groupBy("evidence_id").agg(newest.alias("_o")).select("evidence_id", "_o.*")
+
+
+def units_of(observations: DataFrame) -> DataFrame:
+    """Observations with their place, its area (of a subzone) and series."""
+    series = F.col("series") if "series" in observations.columns else F.lit(None).cast("string")
+    place = F.coalesce("planning_region", "subzone", "planning_area", "geography")
+    area = F.when(F.col("geography_level") == "subzone", F.col("planning_area"))
+    return observations.select("evidence_id", "source_id", "geography_level", place.alias("place"), area.alias("area"), "year", "sex", "age_group", series.alias("series"), "status", "value")
+
+
 def entity(order: tuple[str, ...] = ("planning_region", "subzone", "planning_area", "geography")) -> Column:
     """The finest name of an observation's place."""
     return F.coalesce(*order, F.lit("Talmera"))

@@ -89,8 +89,7 @@ def error_kinds(spark: SparkSession, sf: str) -> DataFrame:
         .when(~gold.isin(*metrics.ABSTAIN) & said.isin(*metrics.ABSTAIN), "needless_abstention")
         .when(gold.isin(*metrics.ABSTAIN), "wrong_abstention").otherwise("partial_confused")
     )
-    rows.withColumn("kind", kind).createOrReplaceTempView("tallyspan_errors")
-    return spark.sql("SELECT benchmark_file, category, kind, count(*) AS n FROM tallyspan_errors GROUP BY GROUPING SETS ((kind), (benchmark_file, kind), (category, kind))")
+    return spark.sql("SELECT benchmark_file, category, kind, count(*) AS n FROM {errors} GROUP BY GROUPING SETS ((kind), (benchmark_file, kind), (category, kind))", errors=rows.withColumn("kind", kind))
 
 
 def _recalls(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,8 +111,7 @@ def recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
 
 def mean_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Mean recall at k in total and per label (grouping sets)."""
-    _recalls(spark, sf).createOrReplaceTempView("tallyspan_recalls")
-    return spark.sql("SELECT k, label, count(*) AS n_queries, round(avg(recall), 9) AS recall, round(avg(precision), 9) AS precision FROM tallyspan_recalls GROUP BY GROUPING SETS ((k), (k, label))")
+    return spark.sql("SELECT k, label, count(*) AS n_queries, round(avg(recall), 9) AS recall, round(avg(precision), 9) AS precision FROM {found} GROUP BY GROUPING SETS ((k), (k, label))", found=_recalls(spark, sf))
 
 
 def _gate_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -209,8 +207,7 @@ def internal_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 def label_distribution(spark: SparkSession, sf: str) -> DataFrame:
     """Labels and categories by file (grouping sets)."""
-    _predictions(spark, sf).createOrReplaceTempView("tallyspan_labels")
-    return spark.sql("SELECT benchmark_file, category, gold, count(*) AS n FROM tallyspan_labels GROUP BY GROUPING SETS ((benchmark_file, gold), (benchmark_file, category), (category, gold))")
+    return spark.sql("SELECT benchmark_file, category, gold, count(*) AS n FROM {labels} GROUP BY GROUPING SETS ((benchmark_file, gold), (benchmark_file, category), (category, gold))", labels=_predictions(spark, sf))
 
 
 def file_checksums(spark: SparkSession, sf: str) -> DataFrame:
@@ -235,10 +232,11 @@ def order_cube(spark: SparkSession, sf: str) -> DataFrame:
     """Orders by year, region, nation and segment at every published level."""
     orders, customers, nations, regions = (table(spark, sf, t) for t in ("orders", "customer", "nation", "region"))
     rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey")).join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
-    rows.select(F.year("o_orderdate").alias("y"), "r_name", "n_name", "c_mktsegment", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents")).createOrReplaceTempView("tallyspan_orders")
+    rows = rows.select(F.year("o_orderdate").alias("y"), "r_name", "n_name", "c_mktsegment", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
     return spark.sql(
         """SELECT y AS year, r_name AS region, n_name AS nation, c_mktsegment AS segment, count(*) AS n_orders, sum(cents) AS total_cents, sum(cents) / count(*) AS mean_cents
-           FROM tallyspan_orders GROUP BY GROUPING SETS ((y), (y, r_name), (y, r_name, n_name), (y, r_name, c_mktsegment), (y, r_name, n_name, c_mktsegment))"""
+           FROM {rows} GROUP BY GROUPING SETS ((y), (y, r_name), (y, r_name, n_name), (y, r_name, c_mktsegment), (y, r_name, n_name, c_mktsegment))""",
+        rows=rows,
     )
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyspan.functions import text
-from tallyspan.operators import facts, observations as obs
+from tallyspan.operators import facts, observations as obs, questions
+from tallyspan.operators.names import named_spans
 from tallyspan.session import table
 
 COLUMNS = ["evidence_id", "load_id", "row_id", "year", "geography_level", "planning_region", "planning_area", "subzone", "sex", "age_group", "status", "value"]
@@ -102,10 +103,10 @@ def duplicate_evidence(spark: SparkSession, sf: str) -> DataFrame:
 def status_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Observations by status, in total, per source and per source and sex."""
     rows = _region(spark, sf).unionByName(_census(spark, sf))
-    rows.createOrReplaceTempView("tallyspan_observations")
     return spark.sql(
         """SELECT source_id, sex, status, count(*) AS n_rows, sum(value) AS total
-           FROM tallyspan_observations GROUP BY GROUPING SETS ((status), (source_id, status), (source_id, sex, status))"""
+           FROM {rows} GROUP BY GROUPING SETS ((status), (source_id, status), (source_id, sex, status))""",
+        rows=rows,
     ).withColumn("total", F.round("total", 2))
 
 
@@ -215,16 +216,9 @@ def question_facts(spark: SparkSession, sf: str) -> DataFrame:
 
 def question_operations(spark: SparkSession, sf: str) -> DataFrame:
     """Operation that each question asks for, and whether it asks for a cause."""
-    words = text.phrase(F.col("question"))
-    has = lambda *phrases: F.exists(F.array(*map(F.lit, phrases)), lambda p: F.concat(F.lit(" "), words, F.lit(" ")).contains(F.concat(F.lit(" "), p, F.lit(" "))))
-    operation = (
-        F.when(has("largest", "highest", "most"), "argmax")
-        .when(has("how did", "trend", "grown since", "growth since"), "trend")
-        .when(has("how many more", "how much", "difference", "change between", "change from"), "difference")
-        .when((F.size(text.years(F.col("question"))) > 1) | (F.size(text.sexes(F.col("question"))) > 1), "comparison")
-        .otherwise("lookup")
-    )
-    return _questions(spark, sf).select("example_id", operation.alias("operation"), has("why", "cause", "caused", "reason", "reasons").alias("is_causal"))
+    words, q = text.phrase(F.col("question")), F.col("question")
+    several = (F.size(text.years(q)) > 1) | (F.size(text.sexes(q)) > 1)
+    return _questions(spark, sf).select("example_id", questions.operation(words, several).alias("operation"), questions.any_phrase(words, questions.CAUSE_WORDS).alias("is_causal"))
 
 
 def _bands(spark: SparkSession, sf: str) -> DataFrame:
@@ -247,17 +241,14 @@ def question_age_bands(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _question_places(spark: SparkSession, sf: str) -> DataFrame:
-    """The longest place name that stands in each question.
-
-    Runs of two and three words are joined to the names: no question meets a
-    name it does not hold.
-    """
+    """The longest place name that stands in each question, of any number of words."""
     census = table(spark, sf, "census_rows")
-    named = census.select(F.regexp_replace(F.trim("number_label"), " - Total$", "").alias("place")).distinct().where("place is not null").withColumn("name", text.phrase(F.col("place")))
-    words = F.split(text.phrase(F.col("question")), " ")
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.concat_ws(" ", F.slice(words, i, n)))
-    asked = _questions(spark, sf).select("example_id", F.explode(F.array_distinct(F.concat(runs(2), runs(3)))).alias("name"))
-    return asked.join(named, "name").groupBy("example_id").agg(F.max_by("place", F.struct(F.length("name"), "name")).alias("place"))
+    named = census.select(F.regexp_replace(F.trim("number_label"), r" - Total\z", "").alias("place")).where("place is not null").distinct()
+    # Of names that differ in spelling only, the first one stands for all.
+    named = named.groupBy(text.phrase(F.col("place")).alias("name")).agg(F.max("place").alias("place"))
+    asked = _questions(spark, sf).select("example_id", text.phrase(F.col("question")).alias("words"))
+    spans = named_spans(asked, "example_id", "words", named, ["place"])
+    return spans.groupBy("example_id").agg(F.max_by("place", F.struct(F.length("name"), "name")).alias("place"))
 
 
 def question_places(spark: SparkSession, sf: str) -> DataFrame:
@@ -350,7 +341,7 @@ named_places AS (SELECT place, trim(regexp_replace(lower(place), '[^\p{L}0-9]+',
 question_place AS (
   SELECT example_id, arg_max(place, (length(name), name)) AS place
   FROM (SELECT example_id, ' ' || trim(regexp_replace(lower(question), '[^\p{L}0-9]+', ' ', 'g'), ' ') || ' ' AS words FROM qa_examples WHERE question IS NOT NULL)
-  JOIN named_places ON contains(words, ' ' || name || ' ') AND len(string_split(name, ' ')) IN (2, 3) GROUP BY example_id)"""
+  JOIN named_places ON contains(words, ' ' || name || ' ') GROUP BY example_id)"""
 
 _EVIDENCE_SQL = f"""{_Q_SQL},{CENSUS_SQL},
 census_latest AS (SELECT * FROM census_obs QUALIFY row_number() OVER (PARTITION BY evidence_id ORDER BY load_id DESC, row_id DESC) = 1),
@@ -412,9 +403,8 @@ ORACLES = {
     "question_facts": f"""WITH {_Q_SQL} SELECT y.example_id, array_to_string(years, ',') AS years, kind AS age_kind, low AS age_low, high AS age_high, array_to_string(sexes, ',') AS sexes
         FROM asked_years y JOIN constraints USING (example_id) JOIN asked_sexes USING (example_id)""",
     "question_operations": rf"""WITH {_Q_SQL}, w AS (SELECT example_id, ' ' || trim(regexp_replace(lower(question), '[^\p{{L}}0-9]+', ' ', 'g'), ' ') || ' ' AS words, years FROM asked_years)
-        SELECT example_id, CASE WHEN {_OR("largest", "highest", "most")} THEN 'argmax' WHEN {_OR("how did", "trend", "grown since", "growth since")} THEN 'trend'
-          WHEN {_OR("how many more", "how much", "difference", "change between", "change from")} THEN 'difference' WHEN len(years) > 1 OR len(sexes) > 1 THEN 'comparison' ELSE 'lookup' END AS operation,
-          {_OR("why", "cause", "caused", "reason", "reasons")} AS is_causal FROM w JOIN asked_sexes USING (example_id)""",
+        SELECT example_id, CASE {" ".join(f"WHEN {_OR(*phrases)} THEN '{name}'" for name, phrases in questions.OPERATION_PHRASES.items())} WHEN len(years) > 1 OR len(sexes) > 1 THEN 'comparison' ELSE 'lookup' END AS operation,
+          {_OR(*questions.CAUSE_WORDS)} AS is_causal FROM w JOIN asked_sexes USING (example_id)""",
     "question_age_bands": f"WITH {_Q_SQL} SELECT example_id, kind, n_bands, is_exact FROM question_bands",
     "question_places": f"WITH {_Q_SQL} SELECT example_id, place FROM question_place",
     "question_evidence": f"WITH {_EVIDENCE_SQL} SELECT example_id, rank, evidence_id, status, value FROM evidence",

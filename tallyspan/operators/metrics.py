@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyspan.functions.text import safe_divide
+from tallyspan.session import materialise
 
 # The labels, and those that mean abstention.
 LABELS = ("ANSWERABLE", "PARTIALLY_ANSWERABLE", "INSUFFICIENT_EVIDENCE", "OUT_OF_SCOPE")
@@ -88,25 +89,37 @@ def recall_at(found: DataFrame, wanted: DataFrame, query: str, item: str, ks: Se
     return rows.select(query, "n_wanted", long.alias("r")).select(query, "n_wanted", "r.k", "r.recall")
 
 
-def threshold_sweep(rows: DataFrame, score: str, allowed: str, digits: int = 3) -> DataFrame:
+#: Bins of the score range; what is ordered in one task is one row a bin.
+_BINS = 4096
+
+
+def threshold_sweep(rows: DataFrame, score: str, allowed: str) -> DataFrame:
     """Metrics of the gate ``score >= threshold`` for every score that occurs.
 
-    ``score`` is rounded to ``digits``, which bounds the number of thresholds;
-    a null score is always blocked.  Result: threshold, macro_f1 of allow and
-    block, abstention_recall, n_allowed.  One more threshold, infinity, blocks all.
+    A null or NaN score is always blocked.  Result: threshold, macro_f1 of allow
+    and block, abstention_recall, n_allowed.  One more threshold, infinity,
+    blocks all.  Running counts are taken within bins of the score range and over
+    the bins, so no task orders all scores.
     """
-    rounded = F.round(F.col(score).cast("double"), digits)
-    counts = rows.groupBy(rounded.alias("threshold")).agg(F.count_if(F.col(allowed)).alias("good"), F.count_if(~F.col(allowed)).alias("bad"))
-    ends = rows.sparkSession.createDataFrame([(float("inf"), 0, 0)], "threshold double, good long, bad long")
-    # A bounded number of rows: one per rounded score.
-    above = Window.orderBy(F.col("threshold").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy()
-    steps = counts.unionByName(ends).withColumns({"tp": F.sum("good").over(above), "fp": F.sum("bad").over(above), "all_good": F.sum("good").over(everything), "all_bad": F.sum("bad").over(everything)})
-    steps = steps.where("threshold is not null")
-    fn, tn = F.col("all_good") - F.col("tp"), F.col("all_bad") - F.col("fp")
+    value = F.col(score).cast("double")
+    counts = rows.groupBy(F.when(~F.isnan(value), value).alias("threshold")).agg(F.count_if(F.col(allowed)).alias("good"), F.count_if(~F.col(allowed)).alias("bad"))
+    counts = materialise(counts)
+    ends = counts.agg(F.min("threshold").alias("low"), F.max("threshold").alias("high"), F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    low, width = ends["low"] or 0.0, ((ends["high"] or 0.0) - (ends["low"] or 0.0)) / _BINS or 1.0
+    scores = counts.where("threshold is not null").withColumn("bin", F.floor((F.col("threshold") - low) / width))
+    bins = scores.groupBy("bin").agg(F.sum("good").alias("bin_good"), F.sum("bad").alias("bin_bad"))
+    # One row a bin.
+    above = Window.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select("bin", F.coalesce(F.sum("bin_good").over(above), F.lit(0)).alias("good_above"), F.coalesce(F.sum("bin_bad").over(above), F.lit(0)).alias("bad_above"))
+    within = Window.partitionBy("bin").orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    steps = scores.join(F.broadcast(bins), "bin").select("threshold", (F.col("good_above") + F.sum("good").over(within)).alias("tp"), (F.col("bad_above") + F.sum("bad").over(within)).alias("fp"))
+    none = rows.sparkSession.createDataFrame([(float("inf"), 0, 0)], "threshold double, tp long, fp long")
+    steps = steps.unionByName(none)
+    all_good, all_bad = F.lit(ends["good"] or 0), F.lit(ends["bad"] or 0)
+    fn, tn = all_good - F.col("tp"), all_bad - F.col("fp")
     f1 = lambda hit, wrong, lost: safe_divide(2 * hit, 2 * hit + wrong + lost)
     macro = (f1(F.col("tp"), F.col("fp"), fn) + f1(tn, fn, F.col("fp"))) / 2
-    return steps.select("threshold", macro.alias("macro_f1"), safe_divide(tn, F.col("all_bad")).alias("abstention_recall"), (F.col("tp") + F.col("fp")).alias("n_allowed"))
+    return steps.select("threshold", macro.alias("macro_f1"), safe_divide(tn, all_bad).alias("abstention_recall"), (F.col("tp") + F.col("fp")).alias("n_allowed"))
 
 
 def best_threshold(sweep: DataFrame) -> DataFrame:

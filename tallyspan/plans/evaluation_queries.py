@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyspan.functions import text
 from tallyspan.operators import metrics, profile
+from tallyspan.operators.names import named_spans
 from tallyspan.plans.retrieval_queries import dense_top
 from tallyspan.session import table
 
@@ -190,6 +191,24 @@ def leak_templates(spark: SparkSession, sf: str) -> DataFrame:
     return _shared(_split_questions(spark, sf).withColumn("template", template), "template")
 
 
+def leak_place_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions that are equal but for places, years and other numbers."""
+    census, regions = table(spark, sf, "census_rows"), table(spark, sf, "region_rows")
+    label = F.regexp_replace(F.trim("number_label"), r" - Total\z", "")
+    names = census.select(label.alias("n")).unionByName(census.select(F.col("planning_area").alias("n"))).unionByName(regions.select(F.col("planning_region").alias("n")))
+    names = names.select(text.phrase(F.col("n")).alias("name")).where("name not in ('', 'total')").distinct()
+    rows = _split_questions(spark, sf).select("example_id", "split", text.phrase(F.col("question")).alias("words"))
+    spans = named_spans(rows.select("example_id", "words").where("words is not null").distinct(), "example_id", "words", names)
+    places = spans.groupBy("example_id").agg(F.array_sort(F.collect_set(F.struct((-F.length("name")).alias("n"), "name"))).alias("places"))
+    rows = rows.join(places, "example_id", "left")
+    # Blanks are doubled, so that neighbouring names do not share one.
+    spread = F.concat(F.lit(" "), F.replace("words", F.lit(" "), F.lit("  ")), F.lit(" "))
+    spread_name = lambda p: F.concat(F.lit(" "), F.replace(p["name"], F.lit(" "), F.lit("  ")), F.lit(" "))
+    bare = F.when(F.col("places").isNull(), spread).otherwise(F.aggregate("places", spread, lambda t, p: F.replace(t, spread_name(p), F.lit(" <place> "))))
+    template = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(bare, " +", " ")), "(?:19|20)[0-9]{2}", "<year>"), "[0-9]+", "<number>")
+    return _shared(rows.withColumn("template", template), "template")
+
+
 def leak_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Equal non-empty sets of required evidence in both splits, by checksum."""
     record = F.col("record_json")
@@ -244,7 +263,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         label_confusion, label_scores, file_metrics, split_gap, paired_outcomes, error_kinds, recall_at_k, mean_recall, threshold_sweep, threshold_best, score_distribution, numeric_agreement, event_costs,
-        leak_ids, leak_questions, leak_templates, leak_evidence, internal_duplicates, label_distribution, file_checksums, missing_evidence, order_cube,
+        leak_ids, leak_questions, leak_templates, leak_place_templates, leak_evidence, internal_duplicates, label_distribution, file_checksums, missing_evidence, order_cube,
     )
 }
 
@@ -277,7 +296,7 @@ _RECALL = f"""{_DENSE}, ks AS (SELECT unnest([1, 3, 5, 10]) AS k), sizes AS (SEL
     rec AS (SELECT query_id, own AS label, k, count(*) FILTER (WHERE rank <= k AND d.label = own) / any_value(n_wanted) AS recall, count(*) FILTER (WHERE rank <= k AND d.label = own) / k AS precision
       FROM d CROSS JOIN ks JOIN sizes s ON s.label = own GROUP BY query_id, own, k)"""
 _GATE = f"""{_DENSE}, g AS (SELECT query_id, score, label = own AS is_good FROM d WHERE query_id <> vec_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) = 1),
-    t AS (SELECT round(score, 3) AS threshold, count(*) FILTER (WHERE is_good) AS good, count(*) FILTER (WHERE NOT is_good) AS bad FROM g GROUP BY 1 UNION ALL SELECT 'infinity'::DOUBLE, 0, 0),
+    t AS (SELECT score AS threshold, count(*) FILTER (WHERE is_good) AS good, count(*) FILTER (WHERE NOT is_good) AS bad FROM g GROUP BY 1 UNION ALL SELECT 'infinity'::DOUBLE, 0, 0),
     c AS (SELECT threshold, sum(good) OVER w AS tp, sum(bad) OVER w AS fp, sum(good) OVER () AS ag, sum(bad) OVER () AS ab FROM t WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)),
     sweep AS (SELECT threshold, round(({_DIV.format("(2 * tp)", "(2 * tp + fp + ag - tp)")} + {_DIV.format("(2 * (ab - fp))", "(2 * (ab - fp) + ag - tp + fp)")}) / 2, 9) AS macro_f1, round({_DIV.format("(ab - fp)", "ab")}, 9) AS abstention_recall, CAST(tp + fp AS BIGINT) AS n_allowed FROM c)"""
 _SPLITS = f"""roles AS (SELECT DISTINCT {_PATH.format("benchmark_file")} AS file, 'evaluation' AS split FROM freeze_manifests WHERE lower(trim(freeze_status, ' ')) = 'frozen' AND benchmark_file IS NOT NULL
@@ -320,6 +339,12 @@ ORACLES = {
     "leak_ids": _shared_sql("ext_id", "ext_id"),
     "leak_questions": _shared_sql("words", _PHRASE.format("question")),
     "leak_templates": _shared_sql("template", f"regexp_replace(regexp_replace({_PHRASE.format('question')}, '(?:19|20)[0-9]{{2}}', '<year>', 'g'), '[0-9]+', '<number>', 'g')"),
+    "leak_place_templates": f"""WITH {_SPLITS}, names AS (SELECT DISTINCT {_PHRASE.format("n")} AS name FROM (SELECT regexp_replace(trim(number_label, ' '), ' - Total$', '') AS n FROM census_rows UNION SELECT planning_area FROM census_rows UNION SELECT planning_region FROM region_rows) WHERE n IS NOT NULL),
+        w AS (SELECT example_id, split, {_PHRASE.format("question")} AS words FROM s),
+        l AS (SELECT example_id, list(DISTINCT name) AS names FROM w JOIN names ON contains(' ' || words || ' ', ' ' || name || ' ') AND name NOT IN ('', 'total') GROUP BY example_id),
+        b AS (SELECT w.*, list_reduce(list_concat([' ' || replace(words, ' ', '  ') || ' '], [' ' || replace(x, ' ', '  ') || ' ' FOR x IN list_transform(list_sort([lpad(CAST(length(y) AS VARCHAR), 6, '0') || y FOR y IN coalesce(names, [])], 'DESC'), lambda z: z[7:])]), lambda t, p: replace(t, p, ' <place> ')) AS bare FROM w LEFT JOIN l USING (example_id)),
+        t AS (SELECT split, regexp_replace(regexp_replace(trim(regexp_replace(bare, ' +', ' ', 'g'), ' '), '(?:19|20)[0-9]{{2}}', '<year>', 'g'), '[0-9]+', '<number>', 'g') AS template FROM b)
+        SELECT template, count(*) FILTER (WHERE split = 'evaluation') AS n_evaluation, count(*) FILTER (WHERE split = 'training') AS n_training FROM t WHERE template IS NOT NULL GROUP BY 1 HAVING n_evaluation > 0 AND n_training > 0""",
     "leak_evidence": _shared_sql("evidence", _EVIDENCE_SET),
     "internal_duplicates": f"SELECT {_PATH.format('benchmark_file')} AS file, {_PHRASE.format('question')} AS words, count(*) AS n FROM qa_examples WHERE question IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
     "label_distribution": f"WITH {_P} SELECT benchmark_file, category, gold, count(*) AS n FROM p GROUP BY GROUPING SETS ((benchmark_file, gold), (benchmark_file, category), (category, gold))",

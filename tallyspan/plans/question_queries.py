@@ -106,6 +106,14 @@ def full_recovery(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("example_id", "category").agg(F.count("*").alias("n_required"), F.count("is_found").alias("n_recovered"), (F.count("is_found") / F.count("*")).alias("recovery"))
 
 
+def missing_required(spark: SparkSession, sf: str) -> DataFrame:
+    """Required evidence, of any source, that no observation has."""
+    record = F.col("record_json")
+    listed = F.coalesce(F.get_json_object(record, "$.required_evidence"), F.get_json_object(record, "$.example.required_evidence"))
+    wanted = table(spark, sf, "qa_examples").select("example_id", F.explode(F.from_json(listed, "array<string>")).alias("e")).where("e is not null")
+    return wanted.select("example_id", F.lower(F.trim("e")).alias("evidence_id")).distinct().join(_units(spark, sf).select("evidence_id"), "evidence_id", "left_anti")
+
+
 def retrieval_report(spark: SparkSession, sf: str) -> DataFrame:
     """Mean recall at 1, 3, 5 and 10, in total, by category and by the number of
     required observations (grouping sets)."""
@@ -136,7 +144,7 @@ def selective_risk(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (observations_indicator, question_ir, structured_evidence, structured_support, decided, computed, decision_scores, full_recovery, retrieval_report, selective_risk)}
+QUERIES = {f.__name__: f for f in (observations_indicator, question_ir, structured_evidence, structured_support, decided, computed, decision_scores, full_recovery, missing_required, retrieval_report, selective_risk)}
 
 # --- SQL: the same from the tables' rules alone -----------------------------------
 
@@ -296,6 +304,8 @@ ORACLES: dict[str, str] = {
           {ev._DIV.format("count(*) FILTER (WHERE NOT p.s AND o)", "count(*) FILTER (WHERE o)")} AS abstention_recall, {ev._DIV.format("count(*) FILTER (WHERE p.s AND o)", "count(*) FILTER (WHERE o)")} AS unsupported_rate FROM p GROUP BY 1""",
     "full_recovery": f"""WITH {_WHOLE}, {_REQUIRED} SELECT example_id, category, count(*) AS n_required, count(w_ev.evidence_id) AS n_recovered, count(w_ev.evidence_id) / count(*) AS recovery
         FROM required r LEFT JOIN w_ev ON w_ev.text_id = r.example_id AND w_ev.evidence_id = r.evidence_id GROUP BY ALL""",
+    "missing_required": f"""WITH {_UNITS}, r AS (SELECT DISTINCT example_id, lower(trim(e, ' ')) AS evidence_id FROM (SELECT example_id, unnest(CAST(coalesce(record_json->'$.required_evidence', record_json->'$.example.required_evidence') AS VARCHAR[])) AS e FROM qa_examples) WHERE e IS NOT NULL)
+        SELECT * FROM r WHERE evidence_id NOT IN (SELECT evidence_id FROM units WHERE evidence_id IS NOT NULL)""",
     "retrieval_report": f"""WITH {_WHOLE}, {_REQUIRED}, ks AS (SELECT unnest([1, 3, 5, 10]) AS k),
         e AS (SELECT example_id, category, k, count(*) AS n_required, count(*) FILTER (WHERE rank <= k) / count(*) AS recall FROM required r CROSS JOIN ks LEFT JOIN w_ev ON w_ev.text_id = r.example_id AND w_ev.evidence_id = r.evidence_id GROUP BY ALL)
         SELECT k, category, n_required, CAST(grouping(k, category, n_required) AS INTEGER) AS grouping, count(*) AS n_examples, round(avg(recall), 9) AS recall FROM e GROUP BY GROUPING SETS ((k), (k, category), (k, n_required))""",

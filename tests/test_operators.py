@@ -64,6 +64,20 @@ def test_threshold(spark):
     assert (best.threshold, best.macro_f1) == (0.8, 1.0)
 
 
+def test_thresholds_are_the_scores_themselves(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([round(rng.random(), 2), 0.5 + rng.random() * 1e-6, None]), rng.random() < 0.6) for _ in range(400)] + [(float("nan"), True)]
+    got = {r.threshold: r for r in metrics.threshold_sweep(spark.createDataFrame(rows, "score double, good boolean"), "score", "good").collect()}
+    scores = {s for s, _ in rows if s is not None and s == s}
+    assert set(got) == scores | {math.inf}
+    for t, r in got.items():
+        allow = [g for s, g in rows if s is not None and s >= t]
+        bad = sum(not g for _, g in rows)
+        assert r.n_allowed == len(allow) and abs(r.abstention_recall - (bad - sum(not g for g in allow)) / bad) < 1e-12
+    empty = spark.createDataFrame([], "score double, good boolean")
+    assert [r.n_allowed for r in metrics.threshold_sweep(empty, "score", "good").collect()] == [0]
+
+
 def test_jsonl_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(2, "b", None), (1, "ä", 0.5)], "z long, a string, m double")
     out = str(tmp_path / "out")

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from tallyspan.functions.text import tokens
-from tallyspan.operators.topk import BestRows, best_of, blocks_of
+from tallyspan.operators.topk import BestRows, best_of
 from tallyspan.session import materialise
 
 
@@ -34,13 +34,33 @@ def norms(terms: DataFrame, frequencies: DataFrame, n_documents: int, key: str)
     return weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
+#: Bytes of the weights of a block of queries that are sent to the tasks.
+BLOCK_BYTES = 64_000_000
+
+
+def _query_blocks(per_query: DataFrame, block: int) -> Iterator[tuple[list[Row], dict[str, int]]]:
+    """Queries and their vocabulary, as many as ``block`` and BLOCK_BYTES allow."""
+    rows: list[Row] = []
+    vocabulary: dict[str, int] = {}
+    for row in per_query.toLocalIterator():
+        fresh = {t["token"] for t in row[1]} - vocabulary.keys()
+        if rows and (len(rows) == block or (len(vocabulary) + len(fresh)) * (len(rows) + 1) * 8 > BLOCK_BYTES):
+            yield rows, vocabulary
+            rows, vocabulary, fresh = [], {}, {t["token"] for t in row[1]}
+        for token in sorted(fresh):
+            vocabulary[token] = len(vocabulary)
+        rows.append(row)
+    if rows:
+        yield rows, vocabulary
+
+
 def top_k(queries: DataFrame, query_key: str, query_text: str, documents: DataFrame, key: str, column: str, k: int, block: int = 4096) -> DataFrame:
     """The ``k`` texts nearest to each query by cosine, best first.
 
     Result: query key, rank, key, score (six decimals; ties by key).  Texts
     without a common token score 0 and fill up the ranks, as do texts without
     tokens.  The queries are a stated set: they go to the tasks in blocks of
-    ``block``; each task keeps the k best texts of each query, so what is
+    ``block`` at most, of bounded bytes; each task keeps the k best texts of each query, so what is
     shuffled is k rows per query and task.
     """
     if k < 1:
@@ -56,12 +76,8 @@ def top_k(queries: DataFrame, query_key: str, query_text: str, documents: DataFr
     source = documents.select(F.col(key).cast("long").alias(key), tokens(F.col(column)).alias("tokens")).join(lengths, key, "left")
     per_query = weighted.groupBy(F.col(query_key).cast("long").alias(query_key)).agg(F.collect_list(F.struct("token", "qf", "idf")).alias("terms"))
     result = None
-    for rows in blocks_of(per_query, block):
+    for rows, vocabulary in _query_blocks(per_query, block):
         ids = np.array([r[0] for r in rows], dtype=np.int64)
-        vocabulary: dict[str, int] = {}
-        for r in rows:
-            for t in r[1]:
-                vocabulary.setdefault(t["token"], len(vocabulary))
         weights = np.zeros((len(vocabulary), len(rows)))
         for j, r in enumerate(rows):
             length = np.sqrt(sum((t["qf"] * t["idf"]) ** 2 for t in r[1]))
@@ -73,8 +89,9 @@ def top_k(queries: DataFrame, query_key: str, query_text: str, documents: DataFr
             ids, vocabulary, weights = shared.value
             best = BestRows(len(ids), k)
             for batch in batches:
-                for low in range(0, len(batch), 1024):
-                    part = batch.slice(low, 1024)
+                step = max(1, min(1024, BLOCK_BYTES // (8 * max(1, len(vocabulary)))))
+                for low in range(0, len(batch), step):
+                    part = batch.slice(low, step)
                     counts = np.zeros((len(part), len(vocabulary)))
                     for i, words in enumerate(part.column(1).to_pylist()):
                         for word in words or ():

@@ -210,36 +210,37 @@ def flatten_evidence(examples: DataFrame, key: str = "example_id", body: str = "
 # --- payloads and their records ----------------------------------------------
 
 
-def _held(value: Column) -> Column:
-    """The records that a member holds, as JSON texts; null if it holds none."""
+def _holds_records(value: Column) -> Column:
     body = F.ltrim(value)
-    one = body.startswith("{") & F.get_json_object(body, "$._id").isNotNull()
-    return F.when(body.startswith("["), F.from_json(body, "array<string>")).when(one, F.array(body))
+    as_list = body.startswith("[") & F.from_json(body, "array<string>").isNotNull()
+    as_record = body.startswith("{") & F.get_json_object(body, "$._id").isNotNull()
+    return F.coalesce(as_list | as_record, F.lit(False))
 
 
 def _records(items: Column, page: Column, depth: int, only: Sequence[str] | None) -> Column:
-    """Record nodes of an array of JSON texts; ``only`` names the members kept."""
+    """Record nodes of an array of JSON texts; ``only`` names the members kept.
 
-    def node(entries: Column) -> Column:
-        inner = F.flatten(F.transform(F.filter(entries, lambda e: e["held"].isNotNull()), lambda e: e["held"]))
+    Most members are plain values, which a look at their first sign tells; to
+    test them twice costs less than to carry what the test found.
+    """
+    wanted = lambda k: F.lit(True) if only is None else k.isin(list(only))
+
+    def node(members: Column) -> Column:
+        inner = F.flatten(F.transform(F.map_values(F.map_filter(members, lambda _, v: _holds_records(v))), lambda v: elements(v)))
         text = F.when(F.size(inner) > 0, F.concat(F.lit("["), F.concat_ws(",", inner), F.lit("]")))
-        own = F.filter(entries, lambda e: e["held"].isNull() & (F.lit(True) if only is None else e["key"].isin(list(only))))
         return F.struct(
             page.alias("page_no"),
-            F.transform(own, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))).alias("members"),
+            F.map_filter(members, lambda k, v: wanted(k) & ~_holds_records(v)).alias("members"),
             (_records(inner, page, depth - 1, only) if depth > 1 else text).alias("records"),
         )
 
     found = F.filter(items, lambda x: F.ltrim(x).startswith("{"))
     parsed = F.filter(F.transform(found, lambda x: F.from_json(x, "map<string,string>")), lambda m: m.isNotNull())
-    # Each value is looked into once; what it holds goes along.
-    entries = F.transform(parsed, lambda m: F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), _held(e["value"]).alias("held"))))
-    return F.transform(entries, node)
+    return F.transform(parsed, node)
 
 
 def _record_type(below: pa.DataType) -> pa.DataType:
-    member = pa.struct([("key", pa.string()), ("value", pa.string())])
-    return pa.struct([("page_no", pa.int32()), ("members", pa.list_(member)), ("records", below)])
+    return pa.struct([("page_no", pa.int32()), ("members", pa.map_(pa.string(), pa.string())), ("records", below)])
 
 
 def _records_below(rest: pa.Array) -> pa.ListArray:
@@ -259,7 +260,7 @@ def _records_below(rest: pa.Array) -> pa.ListArray:
         kids = [y for v in x.values() if inner(v) for y in (v if isinstance(v, list) else [v]) if isinstance(y, dict)]
         return {
             "page_no": None,
-            "members": [{"key": k, "value": _text(v)} for k, v in x.items() if not inner(v)],
+            "members": [(k, _text(v)) for k, v in x.items() if not inner(v)],
             "records": [node(y, depth - 1) for y in kids] if depth > 1 else _text(kids) if kids else None,
         }
 
@@ -277,10 +278,6 @@ def payload_results(payloads: DataFrame, body: str = "body") -> DataFrame:
     return payloads.withColumn("results", result)
 
 
-def _as_map(lists: pa.ListArray) -> pa.MapArray:
-    return pa.MapArray.from_arrays(lists.offsets, pc.struct_field(lists.values, "key"), pc.struct_field(lists.values, "value"))
-
-
 def flatten_records(payloads: DataFrame, key: str = "file_id", body: str = "body", carry: Sequence[str] = (), only: Sequence[str] | None = None) -> DataFrame:
     """One row per record of each payload, with the record it is held in.
 
@@ -310,7 +307,7 @@ def flatten_records(payloads: DataFrame, key: str = "file_id", body: str = "body
                 above = level["number"]
                 carried = [_column(batch, f"carry_{n}").take(row) for n in range(len(carry))]
                 yield pa.record_batch(
-                    [_column(batch, "key").take(row), pa.array(above.astype(np.int32)), parent, page, *carried, _as_map(pc.struct_field(nodes, "members"))],
+                    [_column(batch, "key").take(row), pa.array(above.astype(np.int32)), parent, page, *carried, pc.struct_field(nodes, "members")],
                     names=names,
                 )
 

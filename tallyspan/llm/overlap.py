@@ -8,15 +8,16 @@ Hamming distance 3), and the texts of each pair of fingerprints are verified: th
 same facts, and at least three quarters of the words of the shorter question in
 the other.  The pair definition bounds no distance between the words (the longer
 question may hold any number more), so their weight is one at which they change
-few bits; WORD_WEIGHT has the measured recall.
+few bits, and texts of the same facts whose fingerprints lie further apart are
+compared as well: no pair depends on the radius.
 
 Equal texts are grouped before the join and expanded after it, so that copies
-cost one comparison; a fingerprint that very many different texts share is
-joined on words as well, of which each match must share a rare one.  Defined
-cases: null questions, null files and files of neither split take no part; an
-example whose file is in both splits is compared in both roles, never with
-itself; a question that names no fact is in no pair; empty tables give empty
-results.
+cost one comparison; texts whose facts very many different texts share are
+joined on words, of which each match must share a rare one.  Defined cases: null
+questions, null files and files of neither split take no part; an example whose
+file is in both splits is compared in both roles, never with itself; questions
+that name no fact name the same facts, and those without a word the same words;
+empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ KINDS = ("place", "year", "ages", "sex", "group")
 #: within distance 3 (2,272, 227 and 25 pairs at 0, 1 and 2), so a radius of 0
 #: would lose a tenth of them; at higher weights some pairs lie beyond 3.
 WORD_WEIGHT = 0.4
-#: Pairs of texts of one pair of fingerprints that are compared without words.
+#: Pairs of texts of the same facts that are compared without words.
 HOT_PAIRS = 100_000
 
 # Words that name a sex or a population group.
@@ -154,14 +155,14 @@ def fingerprint(facts: pd.Series, words: pd.Series) -> pd.Series:
 
 
 def coded_questions(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """Distinct plain texts that name facts, with their facts, code and splits.
+    """Distinct plain texts with their facts (none, for some), code and splits.
 
     ``rows`` has qid, plain and role; result: qid, plain, in_evaluation,
     in_training, facts, code.
     """
     has = lambda role: F.max(F.col("role") == role)
     distinct = materialise(rows.groupBy("qid").agg(F.first("plain").alias("plain"), has("evaluation").alias("in_evaluation"), has("training").alias("in_training")))
-    named = with_facts(distinct, names).where(F.size("facts") > 0)
+    named = with_facts(distinct, names)
     hashes = F.transform(other_words(F.col("plain"), F.col("facts")), lambda w: F.xxhash64(w))
     return named.withColumn("code", fingerprint(features(F.col("facts")), hashes))
 
@@ -186,50 +187,72 @@ def _first_permutation(apart: Column) -> Column:
 
 
 def near_codes(codes: DataFrame) -> DataFrame:
-    """(code_a, code_b, n_pairs): codes across the splits within RADIUS, each pair
-    once.  ``codes`` has code, n_evaluation, n_training."""
+    """(code_a, code_b): codes across the splits within RADIUS, each pair once.
 
-    def keyed(df: DataFrame, side: str, n: str) -> DataFrame:
-        rows = df.select(F.col("code").alias(f"code_{side}"), F.col(n).alias(f"n_{side}"), F.explode(block_keys(F.col("code"))).alias("key"))
-        return rows.select(f"code_{side}", f"n_{side}", "key.permutation", "key.bits")
+    ``codes`` has code, n_evaluation, n_training."""
+
+    def keyed(df: DataFrame, side: str) -> DataFrame:
+        return df.select(F.col("code").alias(f"code_{side}"), F.explode(block_keys(F.col("code"))).alias("key")).select(f"code_{side}", "key.permutation", "key.bits")
 
     # Sizes are known before the keys are exploded, so the planner would broadcast too much.
-    near = keyed(codes.where("n_evaluation > 0"), "a", "n_evaluation").hint("merge").join(keyed(codes.where("n_training > 0"), "b", "n_training"), ["permutation", "bits"])
+    near = keyed(codes.where("n_evaluation > 0"), "a").hint("merge").join(keyed(codes.where("n_training > 0"), "b"), ["permutation", "bits"])
     apart = F.col("code_a").bitwiseXOR(F.col("code_b"))
-    near = near.where((F.bit_count(apart) <= RADIUS) & (_first_permutation(apart) == F.col("permutation")))
-    return near.select("code_a", "code_b", (F.col("n_a") * F.col("n_b")).alias("n_pairs"))
+    return near.where((F.bit_count(apart) <= RADIUS) & (_first_permutation(apart) == F.col("permutation"))).select("code_a", "code_b")
+
+
+def _side(coded: DataFrame, s: str) -> DataFrame:
+    """The questions of one split, evaluation (a) or training (b)."""
+    return coded.where("in_evaluation" if s == "a" else "in_training").select("facts", *(F.col(c).alias(f"{c}_{s}") for c in ("qid", "code", "plain")))
+
+
+def _alike() -> Column:
+    """At least three quarters of the words of the shorter text are in the other."""
+    a, b = F.split("plain_a", " "), F.split("plain_b", " ")
+    within = lambda x, y: F.size(F.filter(x, lambda w: F.array_contains(y, w))) * 4 >= F.size(x) * 3
+    return ((F.size(a) <= F.size(b)) & within(a, b)) | ((F.size(b) <= F.size(a)) & within(b, a))
+
+
+def _sharing_words(coded: DataFrame) -> DataFrame:
+    """(qid_a, qid_b) of the matches among questions whose facts very many share.
+
+    Of any quarter and one more of the shorter text's words the other has one, so
+    each text looks for partners by those that are rarest beside its facts.
+    """
+    words = coded.select("qid", "facts", F.explode(F.split("plain", " ")).alias("word"))
+    counts = materialise(words.groupBy("facts", "word").agg(F.count("*").alias("n")))
+    ranked = look_up(words, counts, ["facts", "word"], "inner").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"))
+    rare = F.slice(F.col("ranked.word"), 1, F.floor(F.size("ranked") / 4).cast("int") + 1)
+    texts = materialise(coded.join(ranked.select("qid", F.array_distinct(rare).alias("rare")), "qid"))
+    found = None
+    for short, other in ("ab", "ba"):
+        few = _side(texts, short).join(texts.select(F.col("qid").alias(f"qid_{short}"), "rare"), f"qid_{short}").withColumn("word", F.explode("rare")).drop("rare")
+        all_ = _side(texts, other).withColumn("word", F.explode(F.array_distinct(F.split(f"plain_{other}", " "))))
+        pairs = few.hint("merge").join(all_, ["facts", "word"]).where(_alike()).select("qid_a", "qid_b")
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.distinct()
 
 
 def similar_questions(coded: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """(qid_a, qid_b) of questions that match across the splits, each pair once.
 
     ``coded`` is of :func:`coded_questions`.  Only codes go through the join on
-    the blocks; texts and facts are looked up for the candidates.
+    the blocks; texts are looked up for the candidates.  No bound on the codes
+    follows from the pair definition, so questions of the same facts whose codes
+    lie beyond RADIUS are compared as well.
     """
-    codes = coded.groupBy("code").agg(F.count_if("in_evaluation").alias("n_evaluation"), F.count_if("in_training").alias("n_training"))
+    groups = coded.groupBy("facts").agg(F.count_if("in_evaluation").alias("n_a"), F.count_if("in_training").alias("n_b"), (F.min("code") < F.max("code")).alias("several"))
+    groups = materialise(groups.where("n_a > 0 and n_b > 0").select("facts", "several", (F.col("n_a") * F.col("n_b") > hot_pairs).alias("hot")))
+    hot = materialise(groups.where("hot").select("facts"))
+    some_hot = hot.limit(1).count() > 0
+    cold = materialise(look_up(coded, hot, ["facts"], "left_anti")) if some_hot else coded
+    codes = cold.groupBy("code").agg(F.count_if("in_evaluation").alias("n_evaluation"), F.count_if("in_training").alias("n_training"))
     near = materialise(near_codes(materialise(codes)))
-    side = lambda s, role: coded.where(role).select(*(F.col(c).alias(f"{c}_{s}") for c in ("qid", "code", "plain", "facts")))
-    first, second = side("a", "in_evaluation"), side("b", "in_training")
-    few = first.join(near.where(F.col("n_pairs") <= hot_pairs).drop("n_pairs"), "code_a").join(second, "code_b")
-    many = near.where(F.col("n_pairs") > hot_pairs).drop("n_pairs")
-    if many.limit(1).count():
-        # Of any quarter and one more of the shorter text's words the other has one:
-        # long words that are no facts come first.
-        def worded(df: DataFrame, s: str, only_some: bool) -> DataFrame:
-            words = F.split(f"plain_{s}", " ")
-            ranked = F.array_sort(F.transform(words, lambda w: F.struct(F.array_contains(F.split(F.array_join(f"facts_{s}", " "), " "), w).alias("known"), (-F.length(w)).alias("size"), w.alias("word"))))
-            some = F.slice(F.transform(ranked, lambda x: x["word"]), 1, F.floor(F.size(words) / 4).cast("int") + 1)
-            return df.withColumn("word", F.explode(F.array_distinct(some if only_some else words)))
-
-        a = first.join(many, "code_a")
-        n = lambda s: F.size(F.split(f"plain_{s}", " "))
-        short_a = worded(a, "a", True).join(worded(second, "b", False), ["code_b", "word"]).where(n("a") <= n("b"))
-        short_b = worded(a, "a", False).join(worded(second, "b", True), ["code_b", "word"]).where(n("b") < n("a"))
-        few = few.select(*sorted(few.columns)).unionByName(short_a.unionByName(short_b).drop("word").select(*sorted(few.columns)).dropDuplicates(["qid_a", "qid_b"]))
-    a, b = F.split("plain_a", " "), F.split("plain_b", " ")
-    within = lambda x, y: F.size(F.filter(x, lambda w: F.array_contains(y, w))) * 4 >= F.size(x) * 3
-    alike = ((F.size(a) <= F.size(b)) & within(a, b)) | ((F.size(b) <= F.size(a)) & within(b, a))
-    return few.where("facts_a = facts_b").where(alike).select("qid_a", "qid_b")
+    first, second = _side(cold, "a"), _side(cold, "b")
+    within = first.join(near, "code_a").join(second, ["code_b", "facts"])
+    several = materialise(groups.where("several and not hot").select("facts"))
+    beyond = look_up(first, several, ["facts"], "left_semi").join(look_up(second, several, ["facts"], "left_semi"), "facts").where(F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) > RADIUS)
+    found = within.unionByName(beyond).where(_alike()).select("qid_a", "qid_b")
+    return found.unionByName(_sharing_words(materialise(look_up(coded, hot, ["facts"], "left_semi")))) if some_hot else found
 
 
 def _matched(examples: DataFrame, manifests: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -240,7 +263,7 @@ def _matched(examples: DataFrame, manifests: DataFrame, names: DataFrame) -> tup
     roles = splits(manifests).select("file", "role").distinct()
     rows = examples.where("question is not null").select(F.col("example_id").cast("long").alias("example_id"), path(F.col("benchmark_file")).alias("file"), _plain_words("question").alias("plain"))
     # The manifests name a bounded number of files.
-    rows = rows.join(F.broadcast(roles), "file").where("plain <> ''").withColumn("qid", F.md5("plain"))
+    rows = rows.join(F.broadcast(roles), "file").withColumn("qid", F.md5("plain"))
     rows = materialise(rows)
     matched = materialise(similar_questions(materialise(coded_questions(rows, names))))
 

@@ -1,9 +1,10 @@
 import random
 import re
 
+from oracle import connect, difference
 from pyspark.sql import functions as F
 
-from tallyspan.llm import overlap
+from tallyspan.llm import oracles, overlap
 from tallyspan.llm.queries import QUERIES
 from tallyspan.session import materialise, table
 
@@ -140,3 +141,26 @@ def test_near_codes_share_a_key(spark):
         near.append((c, flip - (1 << 64) if flip >> 63 else flip))
     df = spark.createDataFrame(near, "a long, b long")
     assert df.select(overlap.block_keys(df.a).alias("a"), overlap.block_keys(df.b).alias("b")).where("not arrays_overlap(a, b)").count() == 0
+
+
+def test_pairs_without_facts_and_beyond_the_radius_match_sql(spark, tmp_path):
+    """Questions that name nothing, blank ones, and two of the same facts whose codes lie 4 bits apart."""
+    near = "this male residents aged 19 to 78 in 2012"
+    far = "male residents aged 19 to 78 in 2012 and what earlier be this given that rows compares the published to this"
+    rows = [(1, "e", near), (2, "t", far), (3, "e", "Which of the tables is the largest?"), (4, "t", "which of the tables is largest"), (5, "t", "which of the tables is largest in 2012"), (6, "e", " ?"), (7, "t", ""), (8, "t", "of"), (9, "e", "of"), (10, "e", None)]
+    spark.createDataFrame(rows, "example_id long, benchmark_file string, question string").write.parquet(f"{tmp_path}/qa_examples.parquet")
+    spark.createDataFrame([("e", "t", "final", "frozen")], MANIFESTS).write.parquet(f"{tmp_path}/freeze_manifests.parquet")
+    spark.createDataFrame([("Astley Moor", "Astley Moor - Total")], "planning_area string, number_label string").write.parquet(f"{tmp_path}/census_rows.parquet")
+    spark.createDataFrame([("North",)], "planning_region string").write.parquet(f"{tmp_path}/region_rows.parquet")
+    got = {tuple(r) for r in QUERIES["p4_found"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 2), (3, 4), (6, 7), (3, 8), (4, 9), (8, 9)}
+    for name in ("p4_found", "p4_report"):
+        assert difference(QUERIES[name](spark, str(tmp_path)), oracles.ORACLES[name], connect(str(tmp_path))) == ""
+
+
+def test_hot_facts_with_repeated_words(spark):
+    """Of two texts of equal length either may be the one whose words the other has."""
+    texts = spark.createDataFrame([("1", "x x x z", True, False), ("2", "x p q r", False, True), ("3", "p q z r", True, True)], "qid string, plain string, in_evaluation boolean, in_training boolean")
+    coded = materialise(texts.withColumn("facts", F.array().cast("array<string>")).withColumn("code", F.xxhash64("qid")))
+    for hot in (0, 10**9):
+        assert sorted(map(tuple, overlap.similar_questions(coded, hot).collect())) == [("1", "2"), ("3", "2"), ("3", "3")]
